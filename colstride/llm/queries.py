@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
-from . import mixing, quality
+from . import mixing, quality, token_fst
 from ._shared import read
 
 
@@ -14,11 +14,26 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
 
 
+def vocabulary(name: str = "word_bpe_49k.json") -> str:
+    """Place of a public vocabulary file; it lies at the same place on every worker."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_fst.count_tokens(read(spark, sf_dir, "documents"), vocabulary(), limit=2048)
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op4_quality": op4_quality, "op10_mixing": op10_mixing}
+QUERIES = {
+    "op4_quality": op4_quality,
+    "op8_token_counts": op8_token_counts,
+    "op10_mixing": op10_mixing,
+}
 
 #: DuckDB SQL for those that SQL can express in reasonable time; the rest are tested in tests/llm.
 ORACLE_SQL: dict[str, str] = {}
