@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
-from . import mixing, quality, token_fst
-from ._shared import read
+from . import langid, mixing, packing, quality, token_fst
+from ._shared import crc_fold, read
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,17 +22,29 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"), vocabulary(), end_id=2, capacity=4096)
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_fst.count_tokens(read(spark, sf_dir, "documents"), vocabulary(), limit=2048)
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = langid.identify(docs.select("doc_id", "text"), langid.train(docs))
+    return found.select("doc_id", (crc_fold(F.col("doc_id")) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op4_quality": op4_quality,
+    "op6_packing": op6_packing,
     "op8_token_counts": op8_token_counts,
+    "op9_language_id": op9_language_id,
     "op10_mixing": op10_mixing,
 }
 
