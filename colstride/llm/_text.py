@@ -43,10 +43,10 @@ class Segments:
     """Words of many texts: ``starts`` and ``ends`` in ``data``, ``hashes``, and for text i the words
     from ``first[i]`` to ``first[i + 1]``."""
 
-    def __init__(self, texts: list[bytes], fold: bool = False):
+    def __init__(self, texts: list[bytes], fold: bool = False, is_gap: np.ndarray = IS_GAP):
         self.data = np.frombuffer(b"\n".join([b"", *texts, b""]), dtype=np.uint8)
         begin = np.cumsum([1, *[len(t) + 1 for t in texts]])
-        gap = IS_GAP[self.data]
+        gap = is_gap[self.data]
         edge = np.flatnonzero(gap[1:] != gap[:-1]) + 1  # the data begin and end with a gap
         self.starts, self.ends = edge[0::2], edge[1::2]
         self.first = np.searchsorted(self.starts, begin)
@@ -55,9 +55,13 @@ class Segments:
     def _hash(self, fold: bool) -> np.ndarray:
         n = len(self.data)
         weighted = (FOLD if fold else VALUE)[self.data] * _power("up", n)
-        sums = np.cumsum(weighted, dtype=np.uint64)
-        own = sums[self.ends - 1] - sums[self.starts - 1]
-        return mix(own * _power("down", n)[self.starts] + (self.ends - self.starts).astype(np.uint64))
+        self._sums = np.cumsum(weighted, dtype=np.uint64)
+        return self.spans(self.starts, self.ends)
+
+    def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hashes of any byte ranges; equal bytes hash alike wherever they stand."""
+        own = self._sums[ends - 1] - self._sums[starts - 1]
+        return mix(own * _power("down", len(self.data))[starts] + (ends - starts).astype(np.uint64))
 
     def word(self, k: int) -> bytes:
         return self.data[self.starts[k] : self.ends[k]].tobytes()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-from . import langid, mixing, packing, quality, token_fst
+from . import langid, mixing, packing, quality, token_fst, toxicity
 from ._shared import crc_fold, read
 
 
@@ -22,6 +22,12 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, read(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select("doc_id", (crc_fold(F.col("doc_id")) == 2).alias("held_out"), "score", "predicted")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), vocabulary(), end_id=2, capacity=4096)
 
@@ -42,6 +48,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op4_quality": op4_quality,
+    "op5_toxicity": op5_toxicity,
     "op6_packing": op6_packing,
     "op8_token_counts": op8_token_counts,
     "op9_language_id": op9_language_id,
