@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-from . import langid, mixing, packing, quality, token_fst, toxicity
+from . import langid, mixing, packing, pii, quality, token_fst, toxicity
 from ._shared import crc_fold, read
 
 
@@ -32,6 +32,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), vocabulary(), end_id=2, capacity=4096)
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_fst.count_tokens(read(spark, sf_dir, "documents"), vocabulary(), limit=2048)
 
@@ -50,6 +54,7 @@ QUERIES = {
     "op4_quality": op4_quality,
     "op5_toxicity": op5_toxicity,
     "op6_packing": op6_packing,
+    "op7_pii": op7_pii,
     "op8_token_counts": op8_token_counts,
     "op9_language_id": op9_language_id,
     "op10_mixing": op10_mixing,
