@@ -47,21 +47,17 @@ def water_fill(sizes: DataFrame, max_epochs: float = 3.0) -> DataFrame:
     return levelled.withColumn("target", target).select(*sizes.columns, "target")
 
 
-def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", max_epochs: float = 3.0, seed: int = 17) -> DataFrame:
-    """How much of each document the mix takes.
+def rank(doc_id: str, size: str, seed: int):
+    """The seeded order of documents within their source; ties go by id and size."""
+    return F.xxhash64(F.lit(seed), F.col(doc_id), F.col(size))
 
-    Returns (doc_id, source, size, source_size, target, taken) and nothing else, one row per input
-    row: ``size`` words, of which ``taken`` are used, repeats counted. With ratio = target /
-    source_size, every document is taken floor(ratio) whole times, and the remaining words of the
-    source's target come from its documents in a seeded order, the last of them in part; so a
-    source's taken words are its target rounded down. Null text has size 0, null source is a source
-    of its own, repeated rows are separate documents (in any order: they are alike), an empty table
-    gives an empty result, and further columns of ``docs`` are ignored.
-    """
-    base = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), S.word_count(F.col(text)).alias("size"))
+
+def _plan(docs: DataFrame, doc_id: str, source: str, text: str, max_epochs: float, seed: int) -> DataFrame:
+    """(doc_id, source, size, rank_, source_size, target, whole, extra), one row per row of ``docs``."""
+    base = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), S.word_count(F.col(f"`{text}`")).alias("size"))
     # The sizes, not the texts, are what all later steps read.
-    base = S.stored(base.withColumn("rank_", F.xxhash64(F.lit(seed), "doc_id", "size")), "mix")
-    base = base.withColumn("range_", F.shiftrightunsigned("rank_", 56).cast("int"))
+    base = S.stored(base.withColumn("rank_", rank("doc_id", "size", seed)), "mix")
+    base = base.withColumn("range_", F.shiftrightunsigned(F.col("rank_").bitwiseXOR(F.lit(-1 << 63)), 56).cast("int"))
     per_range = base.groupBy("source", "range_").agg(F.sum("size").alias("range_size"))
     sizes = per_range.groupBy("source").agg(F.sum("range_size").alias("source_size"))
     targets = water_fill(cyclic_weights(sizes), max_epochs)
@@ -72,37 +68,52 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
         .select(F.col("a.source").alias("s_"), F.col("range_").alias("r_"), "start", "source_size", "target",
                 F.floor(F.col("target") / F.greatest(F.col("source_size"), F.lit(1))).alias("whole"))
         .withColumn("part", F.floor("target") - F.col("whole") * F.col("source_size"))
-    )
+    )
     inside = W.partitionBy("source", "range_").orderBy("rank_", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
     placed = base.withColumn("upto", F.sum("size").over(inside))
     joined = placed.join(plan, placed.source.eqNullSafe(plan.s_) & (placed.range_ == plan.r_))
     room = F.col("part") - F.col("start") - F.col("upto") + F.col("size")
-    extra = F.greatest(F.lit(0), F.least(F.col("size"), room))
-    return joined.select("doc_id", placed.source, "size", "source_size", "target", (F.col("whole") * F.col("size") + extra).cast("long").alias("taken"))
+    extra = F.greatest(F.lit(0), F.least(F.col("size"), room)).alias("extra")
+    return joined.select("doc_id", placed.source, "size", "rank_", "source_size", "target", "whole", extra)
 
 
-def apply_mix(docs: DataFrame, seed: int = 17, max_epochs: float = 3.0) -> DataFrame:
+def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", max_epochs: float = 3.0, seed: int = 17) -> DataFrame:
+    """How much of each document the mix takes.
+
+    Returns (doc_id, source, size, source_size, target, taken) and nothing else, one row per input
+    row: ``size`` words, of which ``taken`` are used, repeats counted. With ratio = target /
+    source_size, every document is taken floor(ratio) whole times, and the remaining words of the
+    source's target come from its documents in a seeded order, the last of them in part; so a
+    source's taken words are its target rounded down. Null text has size 0, null source is a source
+    of its own, repeated rows are separate documents (in any order: they are alike), an empty table
+    gives an empty result, and further columns of ``docs`` are ignored.
+    """
+    taken = (F.col("whole") * F.col("size") + F.col("extra")).cast("long").alias("taken")
+    return _plan(docs, doc_id, source, text, max_epochs, seed).select("doc_id", "source", "size", "source_size", "target", taken)
+
+
+def apply_mix(docs: DataFrame, seed: int = 17, max_epochs: float = 3.0, most_broadcast: int = 100_000) -> DataFrame:
     """The mixed documents with the columns of ``docs``: each whole repetition is a row of its own and
     the fractional one is a row with its first words; documents of which nothing is taken go.
 
-    Needs the columns doc_id, source and text. Where several rows share a doc_id, they share its plan
-    as one document would, each by its own size.
+    Needs the columns doc_id, source and text. The plan reaches the texts as one row per source: how many
+    whole times, and the document in the seeded order at which the fractional part ends. Rows that are
+    alike in id, source and size at that very place all take its part.
     """
-    tagged = docs.withColumn("_n_words", S.word_count(F.col("text")))
-    plan = mix(docs, seed=seed, max_epochs=max_epochs).groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"))
-    plan = plan.agg(F.max("taken").alias("_taken"))
-    on = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_n_words") == F.col("_size"))
-    joined = tagged.join(plan.where("_taken > 0"), on)
-    whole = F.floor(F.col("_taken") / F.col("_size")).cast("int")
-    rest = (F.col("_taken") - whole * F.col("_size")).cast("int")
-    pieces = F.concat(F.array_repeat(F.lit(-1), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))
-    head = F.when(F.col("_cut") < 0, F.col("text")).otherwise(F.array_join(F.slice(S.words(F.col("text")), F.lit(1), F.col("_cut")), " "))
-    out = joined.withColumn("_cut", F.explode(pieces)).withColumn("text", head)
+    plan = _plan(docs, "doc_id", "source", "text", max_epochs, seed)
+    last = F.max(F.when(F.col("extra") > 0, F.struct("rank_", "doc_id", "size", "extra"))).alias("_last")
+    cuts = S.stored(plan.groupBy(F.col("source").alias("_source")).agg(F.max("whole").cast("int").alias("_whole"), last), "cuts")
+    side = F.broadcast(cuts) if cuts.count() <= most_broadcast else cuts
+    sized = docs.withColumn("_size", S.word_count(F.col("text"))).where("_size > 0")
+    sized = sized.withColumn("_place", F.struct(rank("doc_id", "_size", seed).alias("rank_"), F.col("doc_id"), F.col("_size").alias("size")))
+    joined = sized.join(side, F.col("source").eqNullSafe(F.col("_source")))
+    end = F.struct("_last.rank_", "_last.doc_id", "_last.size")
+    extra = F.when(F.col("_last").isNull(), 0).when(F.col("_place") < end, F.col("_size")).when(F.col("_place") == end, F.col("_last.extra")).otherwise(0)
+    joined = joined.withColumn("_extra", extra.cast("int"))
+    # -1 stands for a whole repetition, a number for that many first words.
+    part = F.when(F.col("_extra") == F.col("_size"), F.array(F.lit(-1))).when(F.col("_extra") > 0, F.array("_extra")).otherwise(F.array().cast("array<int>"))
+    head = F.when(F.col("_cut") < 0, F.col("text")).otherwise(F.array_join(F.slice(S.words(F.col("text")), F.lit(1), F.abs("_cut")), " "))
+    out = joined.withColumn("_cut", F.explode(F.concat(F.array_repeat(F.lit(-1), F.col("_whole")), part))).withColumn("text", head)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_cut") < 0, F.col("n_chars")).otherwise(F.char_length("text")))
+        out = out.withColumn("n_chars", F.when(F.col("_cut") < 0, F.col("n_chars")).otherwise(F.char_length("text")).cast(docs.schema["n_chars"].dataType))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
-
-
-#: The whole numbers and the fill level are exact in both engines; the seeded order is not, so only a
-#: brute-force test covers ``taken``.
-ORACLE = None
