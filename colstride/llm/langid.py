@@ -166,7 +166,7 @@ def _sample(docs: DataFrame) -> list[tuple[str, np.ndarray]]:
     ranked = thin.withColumn("rank", F.row_number().over(W.partitionBy("label").orderBy("draw", "doc_id", "text"))).where(F.col("rank") <= SAMPLE)
 
     def grams(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches_:
+        for batch in S.slices(batches_):
             out: list = []
             texts = batch.column(1).to_pylist()
             for k, end, owner, codes, _ in gram_codes(texts):
@@ -200,7 +200,7 @@ def identify(docs: DataFrame, kernel: Kernel | None, text: str = "text") -> Data
 
     def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in batches_:
+        for batch in S.slices(batches_):
             texts = batch.column(at).to_pylist()
             found, scores = model.score(texts) if model else ([UNDETERMINED] * len(texts), np.zeros(len(texts)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string()), pa.array(scores)], [*batch.schema.names, "lang_pred", "score"])

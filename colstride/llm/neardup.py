@@ -126,7 +126,7 @@ def sign(docs: DataFrame, width: int) -> DataFrame:
     """(doc_id, n, fp_a, fp_b, registers, bands) of every row of ``docs`` (doc_id, text)."""
 
     def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches_:
+        for batch in S.slices(batches_):
             texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
             for k, end in batches(texts):
                 sets = list(shingles(texts[k:end], width))
@@ -151,7 +151,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     wanted = docs.join(side, docs.doc_id == ids.id, "left_semi").select("doc_id", "text")
 
     def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches_:
+        for batch in S.slices(batches_):
             texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
             found = [s.astype("<u8").tobytes() for s in shingles(texts, width)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["id", "grams"])

@@ -140,7 +140,7 @@ def pieces(docs: DataFrame, path: str, end_id: int, capacity: int, with_ids: boo
     def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, task = word_tokens(path), TaskContext.get().partitionId()
         numbers: dict[int, int] = {}
-        for batch in batches_:
+        for batch in S.slices(batches_):
             texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
             rows, row, ids_out = [], 0, []
             for ids in tokens.ids(texts):

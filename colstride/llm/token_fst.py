@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import _shared as S
 from ._text import Memo, Segments, batches
 
 #: Characters of a chunk: enough chunks to fill vectors, long enough to hide their heads.
@@ -380,7 +381,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048, doc_id: str = "d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = transducer(path)
-        for batch in batches:
+        for batch in S.slices(batches):
             texts = batch.column(1).to_pylist()
             counts = machine.counts(texts)
             n_bytes = [0 if t is None else len(t.encode("utf-8", "surrogatepass")) for t in texts]
