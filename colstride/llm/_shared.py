@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +32,27 @@ def stored(df: DataFrame, label: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of an Arrow batch between the JVM and its Python workers; texts are long, so it stays small.
+BATCH_ROWS = 1000
+#: What empties the memory that an operator keeps in a worker process, by operator.
+CLEAR: dict[str, Callable[[], None]] = {}
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``; from now on its session hands at most ``BATCH_ROWS`` rows at a time to Python workers."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(name)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(name, str(BATCH_ROWS))
+    return df
+
+
+def only(operator: str) -> None:
+    """Empty what other operators keep in this worker process: workers outlive tasks and queries."""
+    for name, clear in CLEAR.items():
+        if name != operator:
+            clear()
+
+
 def slices(batches: Iterable, rows: int = 512) -> Iterator:
     """Parts of Arrow batches, so that few texts are Python objects at a time."""
     for batch in batches:

@@ -22,18 +22,18 @@ SAMPLE, LANDMARKS, VOCABULARY = 200, 48, 8192
 BLEND, RIDGE = (0.2, 0.4, 0.4), 1e-2
 #: The label of texts without a letter.
 UNDETERMINED = "und"
-#: Letters are told apart by 8 bits: a-z their own, others by a hash of the code point.
-_BITS = 8
+#: Letters are told apart by 7 bits: a-z their own, others by a hash of the code point.
+_BITS = 7
 
 _symbols: list[np.ndarray] = []
 
 
 def symbols() -> np.ndarray:
-    """Code point -> 1..255 for letters, 0 for everything else."""
+    """Code point -> 1..127 for letters, 0 for everything else."""
     if not _symbols:
         table = np.zeros(0x110000, dtype=np.uint8)
         letters = np.array([c for c in range(0x110000) if chr(c).isalpha()], dtype=np.uint64)
-        hashed = (letters * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(228)
+        hashed = (letters * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(100)
         table[letters.astype(np.int64)] = 28 + hashed.astype(np.uint8)
         table[97:123] = np.arange(1, 27)
         _symbols.append(table)
@@ -194,11 +194,13 @@ def identify(docs: DataFrame, kernel: Kernel | None, text: str = "text") -> Data
     Texts without a letter, null and empty ones included, are ``und`` with score 0, as is everything
     when there was nothing to learn from. Columns of these names are replaced.
     """
+    docs = S.small_batches(docs)
     keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
     at = keep.index(text)
     shared = docs.sparkSession.sparkContext.broadcast(kernel)  # bounded: see Kernel
 
     def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        S.only("langid")
         model = shared.value
         for batch in S.slices(batches_):
             texts = batch.column(at).to_pylist()

@@ -126,6 +126,7 @@ def sign(docs: DataFrame, width: int) -> DataFrame:
     """(doc_id, n, fp_a, fp_b, registers, bands) of every row of ``docs`` (doc_id, text)."""
 
     def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        S.only("neardup")
         for batch in S.slices(batches_):
             texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
             for k, end in batches(texts):
@@ -151,6 +152,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     wanted = docs.join(side, docs.doc_id == ids.id, "left_semi").select("doc_id", "text")
 
     def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        S.only("neardup")
         for batch in S.slices(batches_):
             texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
             found = [s.astype("<u8").tobytes() for s in shingles(texts, width)]
@@ -297,7 +299,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
     unseen: about one in a million at a similarity of 0.85, fewer above.
     """
     threshold = percent / 100
-    base = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    base = S.small_batches(docs).select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     signed = S.stored(sign(base, width), "signed")
     known = signed.where("n > 0 AND doc_id IS NOT NULL")
     # Equal sets collapse: only numbers are dealt for that.

@@ -124,6 +124,7 @@ class WordTokens:
 
 
 _known: dict[str, WordTokens] = {}
+S.CLEAR["packing"] = _known.clear
 
 
 def word_tokens(path: str) -> WordTokens:
@@ -138,6 +139,7 @@ def pieces(docs: DataFrame, path: str, end_id: int, capacity: int, with_ids: boo
     document, numbered within their task and class."""
 
     def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        S.only("packing")
         tokens, task = word_tokens(path), TaskContext.get().partitionId()
         numbers: dict[int, int] = {}
         for batch in S.slices(batches_):
@@ -179,7 +181,7 @@ def pack(docs: DataFrame, path: str, end_id: int = 2, capacity: int = 4096, doc_
     null ids are packed as separate documents; an empty table gives an empty result; further columns of
     ``docs`` are ignored.
     """
-    base = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    base = S.small_batches(docs).select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     # Written once: a task that ran again could number its pieces otherwise.
     found = S.stored(pieces(base, path, end_id, capacity, with_ids), "pieces")
     counts = found.groupBy("class", "task").agg(F.count("*").alias("n"))

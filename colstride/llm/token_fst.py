@@ -362,6 +362,7 @@ class Transducer:
 
 
 _built: dict[str, Transducer] = {}
+S.CLEAR["token_fst"] = _built.clear
 
 
 def transducer(path: str) -> Transducer:
@@ -380,6 +381,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048, doc_id: str = "d
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        S.only("token_fst")
         machine = transducer(path)
         for batch in S.slices(batches):
             texts = batch.column(1).to_pylist()
@@ -388,5 +390,5 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048, doc_id: str = "d
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(counts)], ["doc_id", "n_bytes", "n_tokens"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    base = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    base = S.small_batches(docs).select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     return base.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
