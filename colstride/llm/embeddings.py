@@ -99,7 +99,7 @@ def deal(vectors: DataFrame, cosine: float) -> DataFrame:
                         on = np.flatnonzero((gap * gap).sum(1) <= most)
                         key = [f"{dim}:{b}:{p}:{q}" for p, q in at[on].tolist()]
                         side = np.full(len(on), int(dx or dy), dtype=np.int32)
-                        yield pa.RecordBatch.from_arrays([pa.array(ids[own[on]]), pa.array(key), pa.array(side), pa.array(np.full(len(on), b, dtype=np.int32))], ["rep", "cell", "side", "block"])
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[own[on]]), pa.array(key, pa.string()), pa.array(side), pa.array(np.full(len(on), b, dtype=np.int32))], ["rep", "cell", "side", "block"])
 
     return vectors.select("rep", "raw").mapInArrow(run, "rep long, cell string, side int, block int")
 
