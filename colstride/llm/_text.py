@@ -31,7 +31,7 @@ _powers = {"up": np.ones(1, dtype=np.uint64), "down": np.ones(1, dtype=np.uint64
 def _power(kind: str, n: int) -> np.ndarray:
     """base ** 0, 1, ... modulo 2 ** 64 for the base or its inverse."""
     if len(_powers[kind]) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 19)
         base = _BASE if kind == "up" else _INVERSE
         steps = np.full(size, base, dtype=np.uint64)
         steps[0] = 1
@@ -67,7 +67,7 @@ class Segments:
         return self.data[self.starts[k] : self.ends[k]].tobytes()
 
 
-def batches(texts: list[bytes], most: int = 2_000_000):
+def batches(texts: list[bytes], most: int = 500_000):
     """(from, to) ranges of ``texts`` of at most ``most`` bytes together; one larger text stands alone."""
     k = 0
     while k < len(texts):

@@ -16,8 +16,10 @@ from . import _shared as S
 from ._text import batches
 
 #: The model is fitted on at most so many labelled documents of each language, drawn by a hash of the
-#: id; so many of them become landmarks; the vocabulary holds at most so many n-grams.
+#: id, by three windows of each; so many windows become landmarks; the vocabulary holds at most so many n-grams.
 SAMPLE, LANDMARKS, VOCABULARY = 200, 48, 8192
+#: Places of a window.
+WINDOW = 1024
 #: Weights of the 1-, 2- and 3-gram kernels in the blend, and the ridge.
 BLEND, RIDGE = (0.2, 0.4, 0.4), 1e-2
 #: The label of texts without a letter.
@@ -40,14 +42,16 @@ def symbols() -> np.ndarray:
     return _symbols[0]
 
 
-def gram_codes(texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(from, to, text of each place, 24-bit gram codes by order, letters of each text) of runs of texts.
+def gram_codes(texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(from, to, text of each window, window of each place, gram codes by order, letters of each window)
+    of runs of texts.
 
-    A text is lower-cased, every run of non-letters becomes one boundary, and boundaries stand at
-    both ends. Row n of the codes holds the n+1-gram at each place, tagged with its order.
+    A text is lower-cased, every run of non-letters becomes one boundary, and boundaries stand at both
+    ends. Windows of ``WINDOW`` places cover it whole, so that a text in several languages goes to the one
+    it has most of. Row n of the codes holds the n+1-gram that ends at each place.
     """
     lowered = [(t or "").lower() for t in texts]
-    for k, end in batches([t for t in lowered], 1_000_000):  # type: ignore[arg-type]
+    for k, end in batches(lowered, 400_000):  # type: ignore[arg-type]
         # A non-letter between texts keeps their n-grams apart.
         codes = np.frombuffer("".join("\n" + t + "\n" for t in lowered[k:end]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         owner = np.repeat(np.arange(end - k), [len(t) + 2 for t in lowered[k:end]])
@@ -55,17 +59,21 @@ def gram_codes(texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray,
         keep = np.ones(len(marks), dtype=bool)
         keep[1:] = (marks[1:] != 0) | (marks[:-1] != 0)
         marks, owner = marks[keep].astype(np.int32), owner[keep]
-        letters = np.bincount(owner[marks > 0], minlength=end - k)
         two = np.zeros_like(marks)
         two[1:] = (marks[:-1] << _BITS) | marks[1:]
         three = np.zeros_like(marks)
         three[2:] = (marks[:-2] << 2 * _BITS) | two[2:]
         # Grams that reach over the start of a text have a boundary inside and are left out.
-        two[(marks == 0) & (np.roll(marks, 1) == 0)] = 0
         inner = np.zeros(len(marks), dtype=bool)
         inner[2:] = marks[1:-1] == 0
         three[inner] = 0
-        yield k, end, owner, np.stack([marks, two, three]), letters
+        places = np.bincount(owner, minlength=end - k)
+        # A text without letters may have lost its places to the boundary before: it has a window all the same.
+        windows = np.maximum(1, -(-places // WINDOW))
+        first = np.concatenate([[0], np.cumsum(windows)])
+        inside = np.arange(len(marks)) - np.repeat(np.cumsum(places) - places, places)
+        window = first[owner] + inside // WINDOW
+        yield k, end, np.repeat(np.arange(end - k), windows), window, np.stack([marks, two, three]), np.bincount(window[marks > 0], minlength=first[-1])
 
 
 @dataclass
@@ -102,19 +110,21 @@ class Kernel:
     def score(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """(label, score) of each text."""
         found, scores = [UNDETERMINED] * len(texts), np.zeros(len(texts))
-        for k, end, owner, codes, letters in gram_codes(texts):
-            # Rows of the matrices are bounded too: many short texts are taken in turns.
-            edges = np.searchsorted(owner, np.arange(0, end - k + 256, 256))
-            for a, lo, hi in zip(range(0, end - k, 256), edges, edges[1:]):
-                rows = min(256, end - k - a)
-                own = owner[lo:hi] - a
-                kernel = sum(w * self.similarity(n, self.presence(n, rows, own, codes[n, lo:hi])) for n, w in enumerate(BLEND))
+        for k, end, text_of, window, codes, letters in gram_codes(texts):
+            total = np.zeros((end - k, len(self.labels)))
+            # Rows of the matrices are bounded: windows are taken in turns.
+            for a in range(0, len(text_of), 256):
+                rows = min(256, len(text_of) - a)
+                lo, hi = np.searchsorted(window, [a, a + rows])
+                kernel = sum(w * self.similarity(n, self.presence(n, rows, window[lo:hi] - a, codes[n, lo:hi])) for n, w in enumerate(BLEND))
                 values = kernel @ self.weights[:-1] + self.weights[-1]
-                best = values.argmax(1)
-                for i in range(rows):
-                    if letters[a + i]:
-                        found[k + a + i] = self.labels[best[i]]
-                        scores[k + a + i] = min(1.0, max(0.0, (values[i, best[i]] + 1) / 2))
+                np.add.at(total, text_of[a : a + rows], values * letters[a : a + rows, None])
+            share = np.bincount(text_of, weights=letters, minlength=end - k)
+            total /= np.maximum(share, 1)[:, None]
+            best = total.argmax(1)
+            for i in np.flatnonzero(share).tolist():
+                found[k + i] = self.labels[best[i]]
+                scores[k + i] = min(1.0, max(0.0, (total[i, best[i]] + 1) / 2))
         return found, scores
 
 
@@ -168,15 +178,22 @@ def _sample(docs: DataFrame) -> list[tuple[str, np.ndarray]]:
     def grams(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in S.slices(batches_):
             out: list = []
-            texts = batch.column(1).to_pylist()
-            for k, end, owner, codes, _ in gram_codes(texts):
-                edges = np.searchsorted(owner, np.arange(end - k + 1))
-                for lo, hi in zip(edges, edges[1:]):
-                    out.append(np.concatenate([np.unique(c[lo:hi]) | (n << 24) for n, c in enumerate(codes)]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32())), batch.column(2)], ["label", "codes", "draw"])
-
-    rows = ranked.select("label", "text", "draw").mapInArrow(grams, "label string, codes array<int>, draw double").collect()
-    return [(r.label, np.array(r.codes, dtype=np.int64)) for r in sorted(rows, key=lambda r: (r.draw, r.label))]
+            row, nth = [], []
+            for k, end, text_of, window, codes, _ in gram_codes(batch.column(1).to_pylist()):
+                edges = np.searchsorted(window, np.arange(len(text_of) + 1))
+                firsts = np.searchsorted(text_of, np.arange(end - k + 1)).tolist()
+                for i, (a, b) in enumerate(zip(firsts, firsts[1:])):
+                    # The first, the middle and the last window of a document.
+                    for j, at in enumerate(sorted({a, (a + b) // 2, b - 1} - {b})):
+                        lo, hi = edges[at], edges[at + 1]
+                        out.append(np.concatenate([np.unique(c[lo:hi]) | (n << 24) for n, c in enumerate(codes)]).astype(np.int32))
+                        row.append(k + i)
+                        nth.append(j)
+            took = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(took), pa.array(out, pa.list_(pa.int32())), batch.column(2).take(took), pa.array(nth, pa.int32())], ["label", "codes", "draw", "nth"])
+
+    rows = ranked.select("label", "text", "draw").mapInArrow(grams, "label string, codes array<int>, draw double, nth int").collect()
+    return [(r.label, np.array(r.codes, dtype=np.int64)) for r in sorted(rows, key=lambda r: (r.nth, r.draw, r.label))]
 
 
 def _few(counts: DataFrame, most: int = 10_000) -> bool:

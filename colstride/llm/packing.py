@@ -28,9 +28,9 @@ from ._text import Memo, Segments, batches
 #: Share of a bin that may stay empty when a rest is kept whole.
 SLACK = 0.03
 #: Words whose ids a worker remembers.
-MOST_WORDS = 900_000
+MOST_WORDS = 500_000
 #: Words encoded in one call.
-CALL_WORDS = 20_000
+CALL_WORDS = 5_000
 #: Signs that form pieces of their own around letters, whatever they are; no apostrophe, digit or "<".
 SIGNS = '.,!?;:()"|#%&*$-'
 
