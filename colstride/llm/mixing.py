@@ -10,6 +10,8 @@ from . import _shared as S
 
 #: Hash ranges a source is dealt to, so that one hot source never meets in one task.
 RANGES = 256
+#: Seed of the order in which documents give the fractional part of their source.
+SEED = 17
 
 
 def cyclic_weights(sizes: DataFrame, source: str = "source") -> DataFrame:
@@ -48,8 +50,9 @@ def water_fill(sizes: DataFrame, max_epochs: float = 3.0) -> DataFrame:
 
 
 def rank(doc_id: str, size: str, seed: int):
-    """The seeded order of documents within their source; ties go by id and size."""
-    return F.xxhash64(F.lit(seed), F.col(doc_id), F.col(size))
+    """The seeded order of documents within their source, as 60 bits of an MD5; ties go by id and size."""
+    text = F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.col(size).cast("string"))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
 def _plan(docs: DataFrame, doc_id: str, source: str, text: str, max_epochs: float, seed: int) -> DataFrame:
@@ -57,7 +60,7 @@ def _plan(docs: DataFrame, doc_id: str, source: str, text: str, max_epochs: floa
     base = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), S.word_count(F.col(f"`{text}`")).alias("size"))
     # The sizes, not the texts, are what all later steps read.
     base = S.stored(base.withColumn("rank_", rank("doc_id", "size", seed)), "mix")
-    base = base.withColumn("range_", F.shiftrightunsigned(F.col("rank_").bitwiseXOR(F.lit(-1 << 63)), 56).cast("int"))
+    base = base.withColumn("range_", F.shiftright("rank_", 52).cast("int"))
     per_range = base.groupBy("source", "range_").agg(F.sum("size").alias("range_size"))
     sizes = per_range.groupBy("source").agg(F.sum("range_size").alias("source_size"))
     targets = water_fill(cyclic_weights(sizes), max_epochs)
@@ -77,7 +80,7 @@ def _plan(docs: DataFrame, doc_id: str, source: str, text: str, max_epochs: floa
     return joined.select("doc_id", placed.source, "size", "rank_", "source_size", "target", "whole", extra)
 
 
-def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", max_epochs: float = 3.0, seed: int = 17) -> DataFrame:
+def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", max_epochs: float = 3.0, seed: int = SEED) -> DataFrame:
     """How much of each document the mix takes.
 
     Returns (doc_id, source, size, source_size, target, taken) and nothing else, one row per input
@@ -92,7 +95,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
     return _plan(docs, doc_id, source, text, max_epochs, seed).select("doc_id", "source", "size", "source_size", "target", taken)
 
 
-def apply_mix(docs: DataFrame, seed: int = 17, max_epochs: float = 3.0, most_broadcast: int = 100_000) -> DataFrame:
+def apply_mix(docs: DataFrame, seed: int = SEED, max_epochs: float = 3.0, most_broadcast: int = 100_000) -> DataFrame:
     """The mixed documents with the columns of ``docs``: each whole repetition is a row of its own and
     the fractional one is a row with its first words; documents of which nothing is taken go.
 

@@ -6,21 +6,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-from . import embeddings, langid, mixing, neardup, packing, pii, quality, token_fst, toxicity
+from . import embeddings, langid, mixing, neardup, packing, pii, quality, sharding, token_fst, toxicity
 from ._shared import crc_fold, read
+from .oracle import ORACLE_SQL
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"), width=3, percent=85)
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source")
+    return sharding.place(docs, [f"shard-{k:03d}" for k in range(256)])
+
+
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), cosine=0.95)
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return quality.judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
+    return quality.judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -58,8 +64,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
+__all__ = ["ORACLE_SQL", "QUERIES"]
+
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
+    "op2_sharding": op2_sharding,
     "op3_embedding_dedup": op3_embedding_dedup,
     "op4_quality": op4_quality,
     "op5_toxicity": op5_toxicity,
@@ -69,6 +78,3 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_mixing": op10_mixing,
 }
-
-#: DuckDB SQL for those that SQL can express in reasonable time; the rest are tested in tests/llm.
-ORACLE_SQL: dict[str, str] = {}
