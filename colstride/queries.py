@@ -16,7 +16,9 @@ from .functions import uint64 as U
 from .operators import codecs, formats, stats
 from .operators.calc import bitmap
 from .operators.kernels import GroupSimple, NullSuppression
+from .plans import harness
 from .plans import queries as plans
+from .sources import generators
 from .sources.columns import from_parquet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -451,3 +453,74 @@ def sum_on_compressed(spark, sf_dir):
     pages = codecs.encode(orders(spark, sf_dir, "o_custkey"), kernel)
     return codecs.process_pages(
         pages, kernel, lambda s, v: s + int(v.sum()), 0, lambda df: df.agg(F.coalesce(F.sum("state"), F.lit(0)).cast("long").alias("v")), "state long")
+
+
+@query("gen_sorted_unique", "SELECT range AS pos, 10 + 3 * range AS v FROM range(5000)")
+def gen_sorted_unique(spark, sf_dir):
+    return generators.sorted_unique(spark, 5000, 10, 3)
+
+
+@query("gen_extraction", "SELECT CAST(800 AS BIGINT) AS n, CAST(800 AS BIGINT) AS distinct_n, true AS in_range, true AS ascending")
+def gen_extraction(spark, sf_dir):
+    column = generators.sorted_unique_extraction(spark, 800, 5000, 7)
+    found = column.agg(F.count("*").alias("n"), F.count_distinct("v").alias("distinct_n"), (F.max("v") < 5000).alias("in_range"))
+    return found.withColumn("ascending", F.lit(stats.is_sorted(column)))
+
+
+@query("gen_uniform", "SELECT CAST(6000 AS BIGINT) AS n, true AS in_range, CAST(101 AS BIGINT) AS distinct_n")
+def gen_uniform(spark, sf_dir):
+    column = generators.with_distribution(spark, 6000, generators.uniform(100, 200, 3))
+    return column.agg(F.count("*").alias("n"), ((F.min("v") >= 100) & (F.max("v") <= 200)).alias("in_range"), F.count_distinct("v").alias("distinct_n"))
+
+
+@query("gen_rounded_normal", "SELECT CAST(3000 AS BIGINT) AS n, true AS in_range, true AS ascending")
+def gen_rounded_normal(spark, sf_dir):
+    column = generators.rounded_real(spark, 3000, "normal", (50, 20), 0, 100, 9, is_sorted=True)
+    found = column.agg(F.count("*").alias("n"), ((F.min("v") >= 0) & (F.max("v") <= 100)).alias("in_range"))
+    return found.withColumn("ascending", F.lit(stats.is_sorted(column)))
+
+
+@query("gen_exact_number", "SELECT * FROM (VALUES (CAST(5 AS BIGINT), CAST(117 AS BIGINT)), (6, 2883)) t(v, n)")
+def gen_exact_number(spark, sf_dir):
+    return generators.exact_number(spark, 3000, 117, 5, 6, 2).groupBy("v").agg(F.count("*").alias("n"))
+
+
+@query("gen_bitwidths", "SELECT * FROM (VALUES (CAST(3 AS BIGINT), CAST(1000 AS BIGINT)), (10, 2000), (41, 1000)) t(width, n)")
+def gen_bitwidths(spark, sf_dir):
+    weights = [0] * 64
+    weights[2], weights[9], weights[40] = 1, 2, 1
+    return stats.histogram(generators.with_bitwidths(spark, 4000, weights, 4))
+
+
+@query("gen_outliers", "SELECT CAST(4000 AS BIGINT) AS n, true AS in_ranges, true AS share_fits")
+def gen_outliers(spark, sf_dir):
+    v = F.col("v")
+    share = F.avg((v == 10).cast("double"))
+    column = generators.with_outliers(spark, 4000, (10, 20), 0.3, (1000, 1010), 0.1, 8)
+    return column.agg(F.count("*").alias("n"), F.bool_and(v.between(10, 20) | v.between(1000, 1010)).alias("in_ranges"), share.between(0.26, 0.34).alias("share_fits"))
+
+
+@query("gen_mixture", "SELECT * FROM (VALUES (false, true), (true, true)) t(upper, share_fits)")
+def gen_mixture(spark, sf_dir):
+    value = generators.two_distributions(generators.two_values(1, 2, 0.5, 11), generators.uniform(1000, 1009, 2), 0.5, 3)
+    column = generators.with_distribution(spark, 4000, value)
+    return column.groupBy((F.col("v") >= 1000).alias("upper")).agg(F.count("*").between(1800, 2200).alias("share_fits"))
+
+
+@query("variants_agree", "SELECT * FROM (VALUES ('fused', CAST(1 AS BIGINT)), ('positional', 1), ('on_compressed', 1)) t(name, status)")
+def variants_agree(spark, sf_dir):
+    """The same sum in three ways, run and compared by the harness."""
+    kernel = codecs.NAMES["dynamic_vbp"]
+    source = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("pos"), F.col("o_custkey").alias("v"), F.col("o_custkey").alias("k"))
+    plain = source.select("pos", "v")
+
+    def compressed():
+        again = codecs.decode(codecs.encode(plain, kernel), kernel)
+        return O.agg_sum(again.where("v < 500"))
+
+    found = harness.run_variants({
+        "fused": lambda: plans.select_sum(source, "less", 500, "k", "v"),
+        "positional": lambda: plans.select_sum_positional(source, "less", 500, "k", "v"),
+        "on_compressed": compressed,
+    })
+    return spark.createDataFrame(list(found.items()), "name string, status long")

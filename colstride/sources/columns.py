@@ -8,6 +8,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,8 +35,6 @@ def from_parquet(spark: SparkSession, path: str, **columns: str | Column) -> Dat
         return table.select(F.col("_metadata.row_index").alias("pos"), *wanted)
     tagged = table.select(F.col("_metadata.row_index").alias("_row"), F.col("_metadata.file_path").alias("_file"), *wanted)
     sizes = spark.read.parquet(path).select(F.col("_metadata.file_path").alias("_file")).groupBy("_file").count()
-    from pyspark.sql import Window as W
-
     # One row per file.
     start = F.coalesce(F.sum("count").over(W.orderBy("_file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     starts = sizes.select("_file", start.alias("_start"))
@@ -43,14 +42,20 @@ def from_parquet(spark: SparkSession, path: str, **columns: str | Column) -> Dat
 
 
 def numbered(df: DataFrame, *order: str) -> DataFrame:
-    """Dense positions in the given order without dealing all rows to one task: range partitions are
-    numbered apart and shifted by the sizes of those before."""
-    spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    schema = T.StructType([*ranged.schema.fields])
-    indexed = ranged.rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
-    return spark.createDataFrame(indexed, T.StructType([*schema.fields, T.StructField("pos", T.LongType())]))
+    """``df`` with dense positions ``pos`` in the given order; the first column must be numeric.
+
+    Rows are cut into ranges at approximate quantiles of the first column and numbered within each;
+    a range starts where those before it end. Only one row per range is ordered in one place.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = sorted(set(df.approxQuantile(order[0], [k / n for k in range(1, n)], 0.25 / n))) if n > 1 else []
+    range_of = F.aggregate(F.array(*[F.lit(c) for c in cuts]), F.lit(0), lambda k, c: k + (F.col(order[0]) >= c).cast("int")) if cuts else F.lit(0)
+    dealt = df.withColumn("_range", range_of)
+    before = F.coalesce(F.sum("count").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = dealt.groupBy("_range").count().select("_range", before.alias("_start"))
+    inside = F.row_number().over(W.partitionBy("_range").orderBy(*order)) - 1
+    placed = dealt.withColumn("_inside", inside).join(F.broadcast(starts), "_range")  # at most a row per shuffle partition
+    return placed.select(*[F.col(f"`{c}`") for c in df.columns], (F.col("_start") + F.col("_inside")).alias("pos"))
 
 
 def store_binary(column: DataFrame, path: str) -> None:
