@@ -163,3 +163,35 @@ def process_pages(pages: DataFrame, kernel, step: Callable[[object, np.ndarray],
         yield pa.RecordBatch.from_pylist([{"state": state}])
 
     return finish(pages.select("n", "data").mapInArrow(run, schema))
+
+
+def select_packed(pages: DataFrame, value: int, page: int = PAGE) -> DataFrame:
+    """(pos) where a statically packed column equals ``value``, told from the packed pages.
+
+    A page whose width is too small for the value is skipped by its first byte. In the others the pattern
+    of the value is compared bit plane by bit plane, so no value is put together.
+    """
+    width = max(1, value.bit_length())
+
+    def run(batches):
+        for batch in batches:
+            for p, n, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if data[0] < width or not n:
+                    continue
+                planes = np.unpackbits(np.frombuffer(data, dtype=np.uint8, offset=1), count=n * data[0], bitorder="little").reshape(n, data[0])
+                pattern = np.array([value >> k & 1 for k in range(data[0])], dtype=np.uint8)
+                at = np.flatnonzero((planes == pattern).all(1)) + p * page
+                yield pa.RecordBatch.from_arrays([pa.array(at)], ["pos"])
+
+    skipping = F.conv(F.hex(F.substring("data", 1, 1)), 16, 10).cast("int") >= width
+    return pages.where(skipping).select("page", "n", "data").mapInArrow(run, "pos long")
+
+
+def rle_select(runs: DataFrame, condition: Column) -> DataFrame:
+    """(pos) of values that meet a condition on ``v``: runs are tested, only matching ones are unrolled."""
+    return rle_decode(runs.where(condition)).select("pos")
+
+
+def rle_sum(runs: DataFrame) -> DataFrame:
+    """One row (v): the sum of a run-length column, one product per run."""
+    return runs.agg(F.coalesce(F.sum(F.col("v") * F.col("length")), F.lit(0)).cast("long").alias("v"))

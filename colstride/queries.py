@@ -524,3 +524,25 @@ def variants_agree(spark, sf_dir):
         "on_compressed": compressed,
     })
     return spark.createDataFrame(list(found.items()), "name string, status long")
+
+
+@query("select_packed", "SELECT o_orderkey AS pos FROM orders WHERE o_custkey = 500")
+def select_packed(spark, sf_dir):
+    return codecs.select_packed(codecs.encode(orders(spark, sf_dir, "o_custkey"), codecs.NAMES["static_vbp"]), 500)
+
+
+@query("select_runs", "SELECT o_orderkey AS pos FROM orders WHERE o_custkey % 2 = 1")
+def select_runs(spark, sf_dir):
+    return codecs.rle_select(codecs.rle_encode(orders(spark, sf_dir, "o_custkey % 2")), F.col("v") == 1)
+
+
+@query("sum_runs", "SELECT CAST(sum(o_custkey % 2) AS BIGINT) AS v FROM orders")
+def sum_runs(spark, sf_dir):
+    return codecs.rle_sum(codecs.rle_encode(orders(spark, sf_dir, "o_custkey % 2")))
+
+
+@query("select_bits_unsigned", "SELECT o_orderkey AS pos FROM orders WHERE o_orderkey % 3 = 0 AND o_custkey < 700")
+def select_bits_unsigned(spark, sf_dir):
+    """An unsigned comparison of patterns, of which those with the top bit set are large."""
+    bits = orders(spark, sf_dir, "CASE WHEN o_orderkey % 3 = 0 THEN o_custkey ELSE -1 - o_custkey END")
+    return O.select(bits, U.bits_less, 700)
