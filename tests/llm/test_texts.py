@@ -200,3 +200,9 @@ def test_toxicity_tables(spark):
     assert len(found) == len(ODD) and {r.predicted for r in found} <= {0, 1}
     assert toxicity.score(frame(spark, []), model).count() == 0
     assert toxicity.train(frame(spark, []), labels.limit(0)).bias < 0
+
+
+def test_private_data_in_long_runs(spark):
+    texts = ["x" * 300_000, "1" * 300_000, "a." * 100_000, "1 " * 100_000, "password" + " " * 100_000, "x" * 100_000 + "@host.example.com"]
+    found = [r.text for r in pii.pseudonymise(frame(spark, texts)).orderBy("doc_id").collect()]
+    assert found[:5] == texts[:5] and "host.example" not in found[5]
