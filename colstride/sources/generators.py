@@ -100,6 +100,8 @@ def histogram_counts(n: int, weights: Sequence[int]) -> list[int]:
     """Values of each width: shares of n, rounded; what rounding leaves is given to (or taken from) the
     widths in use, in turn, without emptying one."""
     counts = [int(n * w / sum(weights) + 0.5) for w in weights]
+    if n and not any(counts):  # fewer values than widths: the heaviest one starts
+        counts[max(range(len(weights)), key=weights.__getitem__)] = 1
     k = 0
     while (gap := n - sum(counts)) != 0:
         if counts[k] and (gap > 0 or sum(counts) > n):
