@@ -2,6 +2,9 @@
 
 Each stage is a function of (spark, docs, sf_dir) that returns a DataFrame; its result is written as
 Parquet and read again before the next. All but the last return the columns of ``documents``.
+
+In every stage an empty table gives an empty result, columns beyond those of ``documents`` pass through,
+very long texts are taken whole, and rows that are repeats of each other are treated alike.
 """
 
 from __future__ import annotations
@@ -19,29 +22,41 @@ SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that can be told; the model learns from these documents."""
+    """Documents in a language that can be told; the model learns from these documents.
+
+    A null text, an empty one and one without letters go; a null lang or id is no matter. Where no document
+    has a lang to learn from, none can be told and all go.
+    """
     found = langid.identify(docs, langid.train(docs))
     known = (found.lang_pred != langid.UNDETERMINED) & (found.score >= LEAST_LANGUAGE_SCORE)
     return found.where(known).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest id."""
+    """One document of each group of near-duplicates: the one with the smallest id.
+
+    Null and empty texts are like nothing and stay, as do rows with a null id; rows that share an id go or
+    stay together.
+    """
     return neardup.first_of_each(docs, SHINGLE_WORDS, SIMILAR_PERCENT)
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with pseudonyms for private data."""
+    """All documents, with pseudonyms for private data; null and empty texts stay as they are."""
     return pii.redacted(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, repeats as rows of their own."""
+    """The documents that the mix takes, repeats as rows of their own.
+
+    Documents without words can give nothing and go; null is a source of its own; ties in the seeded order
+    are settled by id and size.
+    """
     return mixing.apply_mix(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of 4096 ids."""
+    """Pieces of the documents in sequences of 4096 ids; a null or empty text is its end id alone."""
     return packing.pack(docs, queries.vocabulary(), end_id=2, capacity=4096)
 
 
