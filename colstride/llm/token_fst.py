@@ -29,7 +29,7 @@ from . import _shared as S
 from ._text import Memo, Segments, batches
 
 #: Characters of a chunk: enough chunks to fill vectors, long enough to hide their heads.
-CHUNK = 2048
+CHUNK = 256
 #: Characters with a column in the dense table; the others take a slower way to the same result.
 DENSE = 64
 #: States after which the tables start afresh, and words whose state map is remembered, so that memory
@@ -344,7 +344,7 @@ class Transducer:
             ready.append(text.encode("utf-8", "surrogatepass"))
             result.append(n)
         result = np.array(result, dtype=np.int64)
-        for k, end in batches(ready):
+        for k, end in batches(ready, 1_000_000):
             seen = Segments(ready[k:end])
             if not len(seen.hashes):
                 continue
