@@ -80,27 +80,57 @@ def batches(texts: list[bytes], most: int = 500_000):
 
 
 class Memo:
-    """A bounded memory from word hashes to small integers (slots or counts), as sorted arrays."""
+    """A bounded memory from word hashes to small integers (slots or counts), as sorted arrays.
+
+    New keys gather in a small pair of arrays that is merged into the large one now and then, so adding
+    costs no copy of everything.
+    """
 
     def __init__(self, most: int):
         self.most = most
         self.keys, self.values = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+        self.late = (self.keys, self.values)
+
+    @staticmethod
+    def _look(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(keys):
+            return np.zeros(len(wanted), dtype=bool), np.zeros(len(wanted), dtype=np.int64)
+        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        return keys[at] == wanted, values[at]
 
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(known, values) for sorted distinct keys."""
-        if not len(self.keys):
-            return np.zeros(len(keys), dtype=bool), np.zeros(len(keys), dtype=np.int64)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return self.keys[at] == keys, self.values[at]
+        known, values = self._look(self.keys, self.values, wanted)
+        if len(self.late[0]) and len(rest := np.flatnonzero(~known)):
+            found, late = self._look(*self.late, wanted[rest])
+            known[rest], values[rest] = found, late
+        return known, values
 
     def add(self, keys: np.ndarray, values: np.ndarray) -> None:
         """Add sorted distinct keys that aren't known."""
-        at = np.searchsorted(self.keys, keys)
-        self.keys, self.values = np.insert(self.keys, at, keys), np.insert(self.values, at, values)
+        at = np.searchsorted(self.late[0], keys)
+        self.late = np.insert(self.late[0], at, keys), np.insert(self.late[1], at, values)
+        if len(self.late[0]) > 20_000 + len(self.keys) // 8:
+            at = np.searchsorted(self.keys, self.late[0])
+            self.keys, self.values = np.insert(self.keys, at, self.late[0]), np.insert(self.values, at, self.late[1])
+            self.late = self.late[0][:0], self.late[1][:0]
 
     @property
     def full(self) -> bool:
-        return len(self.keys) >= self.most
+        return len(self.keys) + len(self.late[0]) >= self.most
 
     def clear(self) -> None:
         self.__init__(self.most)
+
+
+class Growing:
+    """An array that grows by doubling its room."""
+
+    def __init__(self, dtype):
+        self.room, self.n = np.zeros(1024, dtype=dtype), 0
+
+    def extend(self, values: np.ndarray) -> None:
+        while self.n + len(values) > len(self.room):
+            self.room = np.concatenate([self.room, np.zeros_like(self.room)])
+        self.room[self.n : self.n + len(values)] = values
+        self.n += len(values)

@@ -23,14 +23,14 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from . import _shared as S
-from ._text import Memo, Segments, batches
+from ._text import Growing, Memo, Segments, batches
 
 #: Share of a bin that may stay empty when a rest is kept whole.
 SLACK = 0.03
 #: Words whose ids a worker remembers.
-MOST_WORDS = 500_000
+MOST_WORDS = 900_000
 #: Words encoded in one call.
-CALL_WORDS = 5_000
+CALL_WORDS = 10_000
 #: Signs that form pieces of their own around letters, whatever they are; no apostrophe, digit or "<".
 SIGNS = '.,!?;:()"|#%&*$-'
 
@@ -66,8 +66,7 @@ class WordTokens:
 
     def clear(self) -> None:
         self.memo = Memo(MOST_WORDS)
-        self.flat = np.zeros(0, dtype=np.uint32)
-        self.start, self.length = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        self.flat, self.start, self.length = Growing(np.uint32), Growing(np.int64), Growing(np.int64)
 
     def plain(self, word: str) -> int:
         """Pieces of a word of letters between ASCII signs, told without the tokenizer; 0: can't tell."""
@@ -99,7 +98,7 @@ class WordTokens:
 
     def ids(self, texts: list[bytes]) -> Iterator[np.ndarray]:
         """Ids of each text."""
-        for k, end in batches(texts):
+        for k, end in batches(texts, 1_000_000):
             seen = Segments(texts[k:end])
             keys, where, back = np.unique(seen.hashes, return_index=True, return_inverse=True)
             if self.memo.full:
@@ -108,16 +107,16 @@ class WordTokens:
             if len(new := np.flatnonzero(~known)):
                 got = self.encode([seen.word(i).decode("utf-8", "replace") for i in where[new].tolist()])
                 length = np.array([len(x) for x in got], dtype=np.int64)
-                slots[new] = len(self.start) + np.arange(len(new))
-                self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(length) - length])
-                self.length = np.concatenate([self.length, length])
-                self.flat = np.concatenate([self.flat, *got])
+                slots[new] = self.start.n + np.arange(len(new))
+                self.start.extend(self.flat.n + np.cumsum(length) - length)
+                self.length.extend(length)
+                self.flat.extend(np.concatenate(got))
                 self.memo.add(keys[new], slots[new])
             each = slots[back]
-            length = self.length[each]
+            length = self.length.room[each]
             total = np.concatenate([[0], np.cumsum(length)])
-            at = np.arange(total[-1]) + np.repeat(self.start[each] - total[:-1], length)
-            flat = self.flat[at]
+            at = np.arange(total[-1]) + np.repeat(self.start.room[each] - total[:-1], length)
+            flat = self.flat.room[at]
             bounds = total[seen.first]
             for i in range(end - k):
                 yield flat[bounds[i] : bounds[i + 1]]
