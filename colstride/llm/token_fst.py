@@ -146,6 +146,7 @@ class Transducer:
     START = 0
 
     def __init__(self, path: str):
+        self.path, self.library = path, None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -174,10 +175,20 @@ class Transducer:
         if k < 0:
             k = self.look_up[ord(c)] = len(self.symbols)
             self.symbols.append(c)
-            kind = unicodedata.category(c)[0]
+            kind = unicodedata.category(c)
+            kind = self.newer_kind(c) if kind == "Cn" else kind[0]
             self.kinds[c] = " " if c.isspace() and c not in "\x1c\x1d\x1e\x1f" else kind if kind in "LN" else "'" if c == "'" else "P"
         return int(k)
 
+    def newer_kind(self, c: str) -> str:
+        """The kind of a character that is younger than Python's tables, from the library's splitting."""
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.path)
+        split = lambda s: len(self.library.pre_tokenizer.pre_tokenize_str(s))
+        return "L" if split("a" + c) == 1 else "N" if split(c + c) == 2 else "P"
+
     def number(self, state: tuple) -> int:
         if (k := self.ids.get(state)) is None:
             k = self.ids[state] = len(self.states)
