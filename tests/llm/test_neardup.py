@@ -148,3 +148,12 @@ def test_vector_tables(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], schema)).count() == 0
     null = embeddings.near_duplicates(spark.createDataFrame([(None, [1.0, 2.0]), (1, [1.0, 2.0])], schema))
     assert {tuple(r) for r in null.collect()} == {(None, 0, None, True), (1, 0, 1, True)}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_components_of_random_links(spark, seed):
+    rng = np.random.default_rng(seed)
+    links = [(int(a), int(b)) for a, b in rng.integers(0, 120, (90, 2))]
+    ids = {x for pair in links if pair[0] != pair[1] for x in pair}
+    found = {r.id: r.component for r in _graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert found == components(ids, [p for p in links if p[0] != p[1]])
