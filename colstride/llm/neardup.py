@@ -169,12 +169,13 @@ def _sides(group: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, bool]:
 
 
 def survivors(group: dict[str, np.ndarray], threshold: float) -> list[np.ndarray] | None:
-    """(tile, side, id) of members with a partner in another component that their registers make likely
-    and that they don't meet in an earlier band."""
+    """(tile, side, id, partners) of members with partners in other components that their registers make
+    likely and that they don't meet in an earlier band; the left member of a pair names the right one."""
     left, right, same_side = _sides(group)
     n, label, band = group["n"].astype(float), group["label"], int(group["band"][0])
     registers = np.frombuffer(b"".join(group["registers"]), dtype=np.uint16).reshape(len(n), -1)
     hit = np.zeros(len(n), dtype=bool)
+    partners = np.full(len(n), b"", dtype=object)
     for at, i in enumerate(left):
         others = right[at + 1 :] if same_side else right
         others = others[label[others] != label[i]]
@@ -192,20 +193,26 @@ def survivors(group: dict[str, np.ndarray], threshold: float) -> list[np.ndarray
         if len(others):
             hit[i] = True
             hit[others] = True
+            partners[i] = group["id"][others].tobytes()
     at = np.flatnonzero(hit)
-    return [group["tile"][at], group["side"][at], group["id"][at]] if len(at) else None
+    return [group["tile"][at], group["side"][at], group["id"][at], partners[at]] if len(at) else None
+
+
+def common_size(a: np.ndarray, b: np.ndarray) -> int:
+    """Size of the common part of two sorted sets."""
+    a, b = (a, b) if len(a) <= len(b) else (b, a)
+    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+    return int((b[at] == a).sum())
 
 
 def confirmed(group: dict[str, np.ndarray], percent: int) -> list[np.ndarray] | None:
-    """(a, b) of a spanning forest over the links between members of different components, found by
-    exact intersections: products of 0/1 matrices over the hashes that the members share."""
-    left, right, same_side = _sides(group)
-    label = group["label"]
+    """(a, b) of a spanning forest over the links between members of different components: the named
+    pairs are held against their full sets, but for those that links found before have joined."""
+    label, ids = group["label"].tolist(), group["id"].tolist()
+    place: dict[int, int] = {}
+    for i, x in enumerate(ids):
+        place.setdefault(x, i)
     grams = [np.frombuffer(g, dtype="<u8") for g in group["grams"]]
-    sizes = np.array([len(g) for g in grams])
-    common = _intersections(grams, left, right, same_side)
-    bound = percent * (sizes[left][:, None] + sizes[right][None, :] - common)
-    linked = (100 * common >= bound) & (label[left][:, None] != label[right][None, :])
     root: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -214,41 +221,22 @@ def confirmed(group: dict[str, np.ndarray], percent: int) -> list[np.ndarray] |
         return x
 
     out = []
-    for i, j in zip(*np.nonzero(linked)):
-        a, b = left[i], right[j]
-        if same_side and a >= b:
-            continue
-        x, y = find(int(label[a])), find(int(label[b]))
-        if x != y:
-            root[max(x, y)] = min(x, y)
-            out.append((group["id"][a], group["id"][b]))
+    for i, named in enumerate(group["partners"]):
+        for other in np.frombuffer(named, dtype=np.int64).tolist():
+            j = place[other]
+            x, y = find(label[i]), find(label[j])
+            if x == y:
+                continue
+            common = common_size(grams[i], grams[j])
+            if 100 * common >= percent * (len(grams[i]) + len(grams[j]) - common):
+                root[max(x, y)] = min(x, y)
+                out.append((ids[i], other))
     if not out:
         return None
     pairs = np.array(out, dtype=np.int64)
     return [pairs[:, 0], pairs[:, 1]]
 
 
-def _intersections(grams: list[np.ndarray], left: np.ndarray, right: np.ndarray, same_side: bool, width: int = 4096) -> np.ndarray:
-    """Sizes of the common part of each left with each right set."""
-    if len(left) * len(right) <= 8:
-        return np.array([[len(np.intersect1d(grams[i], grams[j], assume_unique=True)) for j in right] for i in left])
-    values = np.concatenate(grams)
-    owner = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
-    _, column, counts = np.unique(values, return_inverse=True, return_counts=True)
-    shared = counts[column] > 1
-    owner, column = owner[shared], column[shared]
-    _, column = np.unique(column, return_inverse=True)
-    order = np.argsort(column, kind="stable")
-    owner, column = owner[order], column[order]
-    total = np.zeros((len(left), len(right)), dtype=np.float32)
-    for start in range(0, int(column[-1]) + 1 if len(column) else 0, width):
-        lo, hi = np.searchsorted(column, [start, start + width])
-        marks = np.zeros((len(grams), width), dtype=np.float32)
-        marks[owner[lo:hi], column[lo:hi] - start] = 1
-        total += marks[left] @ (marks[left] if same_side else marks[right]).T
-    return np.rint(total).astype(np.int64)
-
-
 def star_links(group: dict[str, np.ndarray], percent: int) -> list[np.ndarray] | None:
     """(a, b) for the members (side 1) that the hub (side 0) links with."""
     hub = np.flatnonzero(group["side"] == 0)
@@ -258,9 +246,7 @@ def star_links(group: dict[str, np.ndarray], percent: int) -> list[np.ndarray] |
     found = []
     for i in np.flatnonzero(group["side"] == 1):
         other = np.frombuffer(group["grams"][i], dtype="<u8")
-        # Both are sorted and free of repeats.
-        at = np.minimum(np.searchsorted(own, other), len(own) - 1)
-        common = int((own[at] == other).sum())
+        common = common_size(own, other)
         if 100 * common >= percent * (len(own) + len(other) - common):
             found.append(group["id"][i])
     if not found:
@@ -346,12 +332,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
     dealt = dealt.select(
         F.xxhash64("key", lo, hi).alias("tile"), F.when(F.col("block") == lo, 0).otherwise(1).alias("side"), "id", "label", "band")
     sizes = signed.select(F.col("doc_id").alias("id"), "n", "registers")
-    found = tiled(dealt.join(sizes, "id"), "tile long, side int, id long", lambda g: survivors(g, threshold))
+    found = tiled(dealt.join(sizes, "id"), "tile long, side int, id long, partners binary", lambda g: survivors(g, threshold))
     found = S.stored(found, "survivors")
     more_sets = sets_of(base, found.select("id"), width)
     labels = first.select("id", F.col("component").alias("label"))
     to_confirm = found.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")).join(more_sets, "id")
-    rest = tiled(to_confirm.select("tile", "side", "id", "label", "grams"), "a long, b long", lambda g: confirmed(g, percent))
+    rest = tiled(to_confirm.select("tile", "side", "id", "label", "grams", "partners"), "a long, b long", lambda g: confirmed(g, percent))
     rest = S.stored(rest, "rest")
     final = first if rest.isEmpty() else S.stored(_graph.components(stars.union(rest)), "final")
 
