@@ -32,7 +32,7 @@ PATTERNS = {
 #: Any of them.
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What every match contains: texts without it are passed on as they are.
-HINT = r"\d{2}|@|(?i:password|passwd|pwd|secret|token|api_?key)"
+HINT = r"\d[ .-]?\d|@|AKIA|(?i:password|passwd|pwd|secret|token|api_?key)"
 
 
 @dataclass(frozen=True)
