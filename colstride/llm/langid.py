@@ -84,6 +84,7 @@ class Kernel:
     grams: list[np.ndarray] = field(default_factory=list)
     landmarks: list[np.ndarray] = field(default_factory=list)
     weights: np.ndarray | None = None
+    usual: np.ndarray | None = None
     tables: list[np.ndarray] | None = None
 
     def presence(self, n: int, rows: int, owner: np.ndarray, codes: np.ndarray) -> np.ndarray:
@@ -107,8 +108,13 @@ class Kernel:
     def __getstate__(self):
         return self.__dict__ | {"tables": None}
 
-    def score(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        """(label, score) of each text."""
+    def score(self, texts: list[str | None], familiar: np.ndarray | None = None) -> tuple[list[str], np.ndarray]:
+        """(label, score) of each text.
+
+        ``familiar`` is filled with the share of each text's 3-grams that the vocabulary holds, over the
+        usual share in windows of its label. Unlike the score, it has no lower bound that depends on the
+        number of labels.
+        """
         found, scores = [UNDETERMINED] * len(texts), np.zeros(len(texts))
         for k, end, text_of, window, codes, letters in gram_codes(texts):
             total = np.zeros((end - k, len(self.labels)))
@@ -125,6 +131,12 @@ class Kernel:
             for i in np.flatnonzero(share).tolist():
                 found[k + i] = self.labels[best[i]]
                 scores[k + i] = min(1.0, max(0.0, (total[i, best[i]] + 1) / 2))
+            if familiar is not None:
+                real = np.flatnonzero(codes[2])
+                known = self.tables[2][codes[2, real]] < len(self.grams[2])
+                texts_of = text_of[window[real]]
+                rate = np.bincount(texts_of, weights=known, minlength=end - k) / np.maximum(1, np.bincount(texts_of, minlength=end - k))
+                familiar[k:end] = np.where(share > 0, rate / np.maximum(self.usual[best], 1e-9), 0.0)
         return found, scores
 
 
@@ -153,6 +165,8 @@ def fit(rows: list[tuple[str, np.ndarray]]) -> Kernel | None:
         marks = present[chosen]
         kernel.landmarks.append(marks / np.sqrt(np.maximum(marks.sum(1), 1))[:, None])
         total += BLEND[n] * kernel.similarity(n, present)
+    shares = np.array([np.isin(s[2][s[2] > 0], kernel.grams[2]).mean() if (s[2] > 0).any() else 0.0 for s in split])
+    kernel.usual = np.array([np.median(shares[[label == other for label, _ in rows]]) for other in labels])
     # Nystroem: K_nm K_mm^(-1/2) as features; ridge regression on them, folded into weights per landmark.
     values, vectors = np.linalg.eigh(total[chosen])
     root = vectors / np.sqrt(np.maximum(values, 1e-6)) @ vectors.T
@@ -205,14 +219,15 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     return fit(_sample(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").cast("string").alias("label"))))
 
 
-def identify(docs: DataFrame, kernel: Kernel | None, text: str = "text") -> DataFrame:
+def identify(docs: DataFrame, kernel: Kernel | None, text: str = "text", familiar: str | None = None) -> DataFrame:
     """Add ``lang_pred`` and ``score`` to every row of ``docs`` from its whole text.
 
     Texts without a letter, null and empty ones included, are ``und`` with score 0, as is everything
-    when there was nothing to learn from. Columns of these names are replaced.
+    when there was nothing to learn from. ``familiar`` names a further column: how familiar the text's
+    3-grams are (``Kernel.score``; 0 for ``und``). Columns of these names are replaced.
     """
     docs = S.small_batches(docs)
-    keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    keep = [c for c in docs.columns if c not in ("lang_pred", "score", familiar)]
     at = keep.index(text)
     shared = docs.sparkSession.sparkContext.broadcast(kernel)  # bounded: see Kernel
 
@@ -221,11 +236,13 @@ def identify(docs: DataFrame, kernel: Kernel | None, text: str = "text") -> Data
         model = shared.value
         for batch in S.slices(batches_):
             texts = batch.column(at).to_pylist()
-            found, scores = model.score(texts) if model else ([UNDETERMINED] * len(texts), np.zeros(len(texts)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string()), pa.array(scores)], [*batch.schema.names, "lang_pred", "score"])
+            shares = np.zeros(len(texts)) if familiar else None
+            found, scores = model.score(texts, shares) if model else ([UNDETERMINED] * len(texts), np.zeros(len(texts)))
+            more = {"lang_pred": pa.array(found, pa.string()), "score": pa.array(scores)} | ({familiar: pa.array(shares)} if familiar else {})
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more.values()], [*batch.schema.names, *more])
 
     from pyspark.sql import types as T
 
     base = docs.select(*[F.col(f"`{c}`") for c in keep])
-    schema = T.StructType([*base.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*base.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), *([T.StructField(familiar, T.DoubleType())] if familiar else [])])
     return base.mapInArrow(run, schema)

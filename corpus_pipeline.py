@@ -15,8 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from colstride.llm import _shared, langid, mixing, neardup, packing, pii, queries
 
-#: Language ID rejects texts without a letter, and those of which no language is at least this likely.
-LEAST_LANGUAGE_SCORE = 0.15
+#: Language ID rejects texts without a letter, and those whose 3-grams are known at less than this part of
+#: the share usual in the language they were given.
+LEAST_FAMILIAR = 0.5
 #: Near-duplicates: words of a shingle and similarity in percent.
 SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
 
@@ -24,11 +25,13 @@ SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that can be told; the model learns from these documents.
 
-    A null text, an empty one and one without letters go; a null lang or id is no matter. Where no document
-    has a lang to learn from, none can be told and all go.
+    A null text, an empty one and one without letters go, as do texts in a script or of letter sequences
+    that no language here has; a null lang or id is no matter. Where no document has a lang to learn from,
+    none can be told and all go.
     """
-    found = langid.identify(docs, langid.train(docs))
-    known = (found.lang_pred != langid.UNDETERMINED) & (found.score >= LEAST_LANGUAGE_SCORE)
+    name = "familiar" + "_" * max(map(len, docs.columns))  # longer than any
+    found = langid.identify(docs, langid.train(docs), familiar=name)
+    known = (found.lang_pred != langid.UNDETERMINED) & (found[name] >= LEAST_FAMILIAR)
     return found.where(known).select(*docs.columns)
 
 

@@ -126,6 +126,19 @@ def test_pipeline(spark):
     assert sorted(map(tuple, final.select(*key).collect())) == sorted(map(tuple, docs.select(*key).collect()))
 
 
+@pytest.mark.parametrize("langs", [("en",), ("en", "fr"), ("de", "en", "es", "fr")])
+def test_language_stage_rejects_what_no_language_has(spark, langs):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where(F.col("lang").isin(*langs))
+    rng = np.random.default_rng(7)
+    draw = lambda letters: " ".join("".join(rng.choice(list(letters), rng.integers(3, 9))) for _ in range(60))
+    planted = ["Это совершенно другой язык, и никто его здесь не знает. " * 5, "日本語のテキストはここにありますが" * 5, "이것은 전혀 다른 언어입니다 " * 9, "Αυτό είναι ένα κείμενο σε άλλη γλώσσα " * 5]
+    planted += [draw("abcdefghijklmnopqrstuvwxyz") for _ in range(10)] + [draw("bcdfghjklmnpqrstvwxz") for _ in range(10)] + ["123 ... 456", "", None]
+    rows = spark.createDataFrame([(-1 - i, t) for i, t in enumerate(planted)], "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.language_id(spark, docs.unionByName(rows, allowMissingColumns=True), SF).collect()}
+    clean = {r.doc_id for r in docs.where(F.col("text").rlike(r"\p{L}")).collect()}
+    assert kept == clean
+
+
 def test_pipeline_stages_survive_odd_rows(spark):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     rows = [(1, None, None, None, None), (None, "the cat and the dog", "en", "a", 5), (2, "", "en", "a", 0), (2, "le chat et le chien", "fr", None, None), (2, "le chat et le chien", "fr", None, None), (3, "x" * 20000, "en", "b", 1)]
