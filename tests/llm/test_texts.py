@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from colstride.llm._text import Segments
 from colstride.llm import _shared, langid, pii, quality, queries, token_fst, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -205,6 +206,17 @@ def test_hidden_words_are_restored(spark):
     assert len(seen) > len(set(seen.tolist()))
 
 
+def found_spots(*texts):
+    seen = Segments([t.encode() for t in texts])
+    return [seen.data[seen.starts[a] : seen.ends[b]].tobytes().decode() for a, b in zip(*toxicity.spots(seen))]
+
+
+def test_hidden_words_are_spotted():
+    for hidden in ("a$$", "as5", "kil1", "$tupid", "iddiot", "stuppid", "looooser", "a s s", "d i e", "id i ot", "i-diot", "i--diot", "s.t.u.p.i.d"):
+        assert hidden in found_spots(f"people called {hidden} yesterday"), hidden
+    assert found_spots("people gave them 24 plain words, nothing more.") == [] and found_spots("", "") == []
+
+
 def test_toxicity_tables(spark):
     docs, labels = frame(spark, ODD, score="clash"), spark.createDataFrame([(0, 1, 0), (1, None, 1), (None, 0, 1)], "doc_id long, quality int, toxic int")
     model = toxicity.train(docs, labels)
