@@ -217,6 +217,11 @@ def test_hidden_words_are_spotted():
     assert found_spots("people gave them 24 plain words, nothing more.") == [] and found_spots("", "") == []
 
 
+def test_spots_stay_in_their_texts():
+    assert found_spots("i d i o t", "i d i o t") == ["i d i o t"] * 2
+    assert found_spots("what a", "i d i o t") == ["i d i o t"] and found_spots("hey !", "", "i d i o t", "a") == ["i d i o t"]
+
+
 def test_toxicity_tables(spark):
     docs, labels = frame(spark, ODD, score="clash"), spark.createDataFrame([(0, 1, 0), (1, None, 1), (None, 0, 1)], "doc_id long, quality int, toxic int")
     model = toxicity.train(docs, labels)
