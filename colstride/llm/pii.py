@@ -20,15 +20,24 @@ ROUNDS = 8
 FIRST_DAY, DAYS_LEFT, DAYS_RIGHT = "1800-01-01", 189, 773
 #: Patterns by kind, tried in this order at each place. Java syntax, no capturing groups. Each starts at
 #: a boundary or has a bounded length, so that long runs of one kind of character cost no more than others.
+_DATE = r"(?<![\d-])(?:1[89]|20|21)\d\d-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])(?![\d-])"
+_SSN = r"(?<![\d-])(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}(?![\d-])"
+_PHONE = r"(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[ .-]\d{4}(?!\d)"
+_IP = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\d]|\.\d)"
+#: A card's digits in its usual groups.
+_GROUPS = r"(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{4}[ -]\d{6}[ -]\d{4,5}|\d{13,19})(?!\d)"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "secret": r"\bAKIA[0-9A-Z]{16}\b|(?i:\b(?:password|passwd|pwd|secret|token|api_?key)\b[\"']?\s*[=:]\s*(?:\"[^\"\s]{6,}\"|'[^'\s]{6,}'|[^\s\"']{6,}))",
-    "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\d]|\.\d)",
-    "date": r"(?<![\d-])(?:1[89]|20|21)\d\d-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])(?![\d-])",
-    "ssn": r"(?<![\d-])(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}(?![\d-])",
-    "card": r"(?<![\d])\d(?:[ -]?\d){12,18}(?!\d)",
-    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[ .-]\d{4}(?!\d)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)",
+    "ip": _IP,
+    "date": _DATE,
+    "ssn": _SSN,
+    # A whole run of digits; it ends before a value of another kind, and doesn't begin with a phone number before a card.
+    "card": rf"(?<!\d)(?!{_PHONE}[ -]{_GROUPS})\d(?:(?:[ -](?!{_IP}|{_DATE}|{_SSN}|{_PHONE}))?\d){{12,}}+",
+    "phone": rf"(?<![\w+])(?:\+\d{{1,3}}[ .-]?)?{_PHONE}|" r"(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)",
 }
+#: How a match is told to be a card, without what stands around it.
+A_RUN = r"\d(?:[ -]?\d){12,}+"
 #: Any of them.
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What every match contains: texts without it are passed on as they are.
@@ -120,13 +129,54 @@ def only_digits(c: Column) -> Column:
 
 
 def card(value: Column, key: Key) -> Column:
-    """A number that passes the Luhn rule becomes another that does, written the same way; others stay."""
+    """A number of 13 to 19 digits that passes the Luhn rule becomes another that does, written the same way; others stay."""
     digits = only_digits(value)
     body = permuted_digits(F.substr(digits, F.lit(1), F.char_length(digits) - 1), key, "card")
     check = F.pmod(10 - F.pmod(luhn_sum(body, True), F.lit(10)), F.lit(10))
     return F.when(luhn_sum(digits, False) % 10 == 0, refilled(value, F.concat(body, check.cast("string")))).otherwise(value)
 
 
+def cards(value: Column, key: Key) -> Column:
+    """(text, number of values replaced) of a run of digits in which cards may have numbers beside them.
+
+    Cards begin and end at the run's blanks and hyphens. Those in usual groups go first, then the whole
+    run, then what is left without its first or last number, or in groups of three digits or more.
+    """
+    group, sign = F.split(value, "[ -]"), F.regexp_extract_all(value, F.lit("[ -]"), F.lit(0))
+    run = F.struct(group.alias("group"), sign.alias("sign"), F.size(group).alias("n"))
+
+    def within(r: Column) -> Column:
+        def window(i: Column, k: Column) -> Column:
+            own = F.slice(r["group"], i + 1, k)
+            return F.struct(i.alias("i"), k.alias("k"), F.array_join(own, "").alias("digits"), F.array_join(F.transform(own, lambda g: F.char_length(g)), "-").alias("sizes"))
+
+        rim = F.array(*[window(F.lit(a), F.greatest(r["n"] - F.lit(a + b), F.lit(0))) for a, b in ((0, 0), (1, 0), (0, 1), (1, 1))])
+        rim = F.when(F.char_length(only_digits(value)) <= 60, F.when(r["n"] > 2, rim).otherwise(F.slice(rim, 1, 1))).otherwise(F.slice(rim, 1, 0))
+        large = F.filter(F.sequence(F.lit(0), r["n"] - 1), lambda i: F.char_length(F.get(r["group"], i)) >= 3)
+        some = F.flatten(F.transform(large, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(6), r["n"] - i)), lambda k: window(i, k))))
+        some = F.filter(some, lambda w: ~F.concat(F.lit("-"), w["sizes"], F.lit("-")).rlike("-[12]-"))
+        valid = F.filter(F.concat(rim, some), lambda w: F.char_length(w["digits"]).between(13, 19) & (luhn_sum(w["digits"], False) % 10 == 0))
+        usual = lambda w: w["sizes"].rlike("^(?:4-4-4-4|4-6-[45]|1[3-9])$")
+        rank = lambda w: F.when(usual(w), 0).when(w["k"] == r["n"], 1).otherwise(2)
+        length = lambda w: F.when(usual(w), 0).otherwise(-F.char_length(w["digits"]))
+        ranked = F.array_sort(F.transform(valid, lambda w: F.struct(rank(w).alias("rank"), length(w).alias("length"), w["i"].alias("i"), w["k"].alias("k"))))
+        apart = lambda a, b: (a["i"] + a["k"] <= b["i"]) | (b["i"] + b["k"] <= a["i"])
+        chosen = F.aggregate(ranked, F.slice(ranked, 1, 0), lambda s, w: F.when(F.forall(s, lambda x: apart(x, w)), F.concat(s, F.array(w))).otherwise(s))
+        # Each group and the sign after it; a card's stand together at its first.
+        joined = lambda i, k: F.array_join(F.zip_with(F.slice(r["group"], i + 1, k), F.slice(r["sign"], i + 1, k - 1), lambda g, s: F.concat(g, F.coalesce(s, F.lit("")))), "")
+
+        def piece(i: Column) -> Column:
+            own = F.filter(chosen, lambda w: (w["i"] <= i) & (i < w["i"] + w["k"]))
+            first = F.filter(own, lambda w: w["i"] == i)
+            done = F.transform(first, lambda w: F.concat(card(joined(w["i"], w["k"]), key), F.coalesce(F.get(r["sign"], i + w["k"] - 1), F.lit(""))))
+            return F.when(F.size(own) == 0, F.concat(F.get(r["group"], i), F.coalesce(F.get(r["sign"], i), F.lit("")))).otherwise(F.coalesce(F.get(done, F.lit(0)), F.lit("")))
+
+        text = F.array_join(F.transform(F.sequence(F.lit(0), r["n"] - 1), piece), "")
+        return F.when(F.size(valid) > 0, F.struct(text.alias("text"), F.size(chosen).alias("n"))).otherwise(F.struct(value.alias("text"), F.lit(0).alias("n")))
+
+    return F.get(F.transform(F.array(run), within), F.lit(0))
+
+
 def phone(value: Column, key: Key) -> Column:
     """The last 10 digits (all, where fewer) are permuted; a country code before them stays."""
     digits = only_digits(value)
@@ -175,11 +225,13 @@ KINDS = {"email": email, "secret": secret, "ip": ip, "date": date, "ssn": ssn, "
 
 
 def pseudonym(value: Column, key: Key) -> Column:
-    """What a match of ``ANY`` becomes; one that its kind finds invalid stays."""
+    """(text, number of values replaced) of a match of ``ANY``; one that its kind finds invalid stays."""
+    counted = lambda new: F.struct(new.alias("text"), (new != value).cast("int").alias("n"))
     out = value
-    for name in reversed(KINDS):
+    for name in reversed([k for k in KINDS if k != "card"]):
         out = F.when(value.rlike(f"^(?:{PATTERNS[name]})$"), KINDS[name](value, key)).otherwise(out)
-    return out
+    before = "|".join(f"(?:{PATTERNS[name]})" for name in list(KINDS)[: list(KINDS).index("card")])
+    return F.when(value.rlike(f"^(?:{A_RUN})$") & ~value.rlike(f"^(?:{before})$"), cards(value, key)).otherwise(F.get(F.transform(F.array(out), counted), F.lit(0)))
 
 
 def pseudonymise(docs: DataFrame, key: Key = Key(), text: str = "text", count: str | None = "n_private") -> DataFrame:
@@ -195,9 +247,9 @@ def pseudonymise(docs: DataFrame, key: Key = Key(), text: str = "text", count: s
     one = one.withColumn("_new", F.transform("_found", lambda v: pseudonym(v, key)))
     # The text between the matches, one more than these; both in turn make the new text.
     between = F.split(t, ANY, -1)
-    pieces = F.zip_with(between, F.col("_new"), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    pieces = F.zip_with(between, F.col("_new"), lambda a, b: F.concat(a, F.coalesce(b["text"], F.lit(""))))
     changed = F.when(F.size("_found") > 0, F.array_join(pieces, "")).otherwise(t)
-    n = F.size(F.filter(F.zip_with("_found", "_new", lambda a, b: a != b), lambda x: x)).cast("long")
+    n = F.aggregate("_new", F.lit(0).cast("long"), lambda s, v: s + v["n"])
     columns = [changed.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns if c != count]
     return one.select(*columns, *([n.alias(count)] if count else []))
 

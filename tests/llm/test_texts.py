@@ -106,6 +106,24 @@ def test_private_values_alone(spark):
     assert [r.text for r in beside] == [r.text + " in 24 days" for r in found]
 
 
+def test_cards_beside_other_numbers(spark):
+    card, other, amex = "4111 1111 1111 1111", "5500-0000-0000-0004", "3782 822463 10005"
+    texts = [
+        f"card {card} 123", f"qty 2 {card}", "4111111111111111 12", f"12 {card} 55", f"123456 {card}", f"200 {card} 12 27", f"{card} {other}", f"no 7 {amex} 1234",
+        f"555-123-4567 {card}", f"{card} 1999-02-28", f"{card} 123-45-6789", f"{card} 555-123-4567", "7 4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1 123", f"{card}", f"8 {other}-12",
+    ]
+    found = pii.pseudonymise(frame(spark, texts)).orderBy("doc_id").collect()
+    new = [r.text for r in found]
+    assert [r.n_private for r in found] == [1, 1, 1, 1, 1, 1, 2, 1, 2, 2, 2, 2, 1, 1, 1]
+    alone = new[13]
+    assert new[:7] == [f"card {alone} 123", f"qty 2 {alone}", alone.replace(" ", "") + " 12", f"12 {alone} 55", f"123456 {alone}", f"200 {alone} 12 27", f"{alone} {new[14][2:-3]}"]
+    assert all(alone in t for t in new[8:12]) and not any(x in t for t in new for x in (card, other, amex, "1999-02-28", "123-45-6789", "555-123-4567", "1 1 1 1 1"))
+    shape = lambda t: re.sub(r"\d", "9", t)
+    assert [shape(t) for t in new] == [shape(t) for t in texts]
+    kept = ["1234567812345678 12", "1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16 17 18 19 20", "100 " * 5000]
+    assert [r.text for r in pii.pseudonymise(frame(spark, kept)).orderBy("doc_id").collect()][:2] == kept[:2]
+
+
 def test_networks_are_permutations(spark):
     digits = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("d"))
     found = {r[0] for r in digits.select(pii.permuted_digits(F.col("d"), pii.Key(), "t")).collect()}
