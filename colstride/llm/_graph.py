@@ -8,30 +8,27 @@ from pyspark.sql import functions as F
 from . import _shared as S
 
 
-def settled(links: DataFrame) -> bool:
-    """Whether (u, v) links form stars: every node has one parent at most, and parents have none."""
-    ends = links.select(F.col("u").alias("id"), F.col("v").alias("parent"), F.lit(False).alias("is_parent"))
-    ends = ends.union(links.select("v", F.lit(None).cast("long"), F.lit(True)))
-    seen = ends.groupBy("id").agg(F.min("parent").alias("lo"), F.max("parent").alias("hi"), F.bool_or("is_parent").alias("is_parent"))
-    return seen.where("lo IS NOT NULL AND (is_parent OR lo <> hi)").isEmpty()
-
-
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(id, component) for every end of ``links`` (a, b): the smallest id that links lead to.
 
     Alternating large and small stars: every node hands its larger neighbours to its smallest one, then
     all its smaller ones, until only stars around the smallest ids are left; the number of rounds grows
-    with the logarithm of the size. Each round is written to the shared folder.
+    with the logarithm of the size. Each round is written to the shared folder. Neighbours of a node
+    with very many never meet in one task (``join_hot``).
     """
     now = S.stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
     for _ in range(most_rounds):
-        if settled(now):
-            break
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        nodes = both.groupBy("u").agg(
+            F.least("u", F.min("v")).alias("m"), F.count("*").alias("n"), F.count_if(F.col("v") < F.col("u")).alias("parents"), F.count_if(F.col("v") > F.col("u")).alias("children"))
+        nodes = S.stored(nodes, "nodes")
+        # Stars: every node has one parent at most, and parents have none.
+        if nodes.where("parents > 1 OR parents > 0 AND children > 0").isEmpty():
+            break
+        hot = S.hot_keys(nodes, "u", "n")
+        large = S.join_hot(both.where("v > u"), nodes.select("u", "m"), "u", hot).select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = large.groupBy("u").agg(F.min("v").alias("m"))
-        down = large.join(small, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        down = S.join_hot(large, small, "u", hot).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = S.stored(down.union(small.select("u", F.col("m").alias("v"))).distinct(), "links")
     else:
         raise RuntimeError(f"components did not settle within {most_rounds} rounds")

@@ -32,6 +32,27 @@ def stored(df: DataFrame, label: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key is hot when it has more than so many rows and more than this fraction of all rows.
+HOT_ROWS, HOT_FRACTION = 10_000, 5_000
+
+
+def hot_keys(counts: DataFrame, key: str, n: str) -> DataFrame | None:
+    """The hot keys of a table with a count ``n`` for each key, fewer than ``HOT_FRACTION``; None: no key is."""
+    total, most = counts.agg(F.sum(n), F.max(n)).first()
+    limit = max(HOT_ROWS, (total or 0) // HOT_FRACTION)
+    return counts.where(F.col(n) > limit).select(key) if (most or 0) > limit else None
+
+
+def join_hot(rows: DataFrame, side: DataFrame, key: str, hot: DataFrame | None) -> DataFrame:
+    """``rows`` joined with ``side``, which has one row for each key at most. The rows of hot keys stay
+    where they are and the few rows of ``side`` for them are broadcast; the others are dealt by key."""
+    if hot is None:
+        return rows.join(side, key)
+    few = F.broadcast(hot)
+    dealt = rows.join(few, key, "left_anti").join(side, key)
+    return dealt.unionByName(rows.join(F.broadcast(side.join(few, key, "left_semi")), key))
+
+
 #: Rows of an Arrow batch between the JVM and its Python workers; texts are long, so it stays small.
 BATCH_ROWS = 1000
 #: What empties the memory that an operator keeps in a worker process, by operator.

@@ -181,8 +181,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, vec_id: str = "vec
     n = homes.where("side = 0 AND block = 0").count()
     tile_rows = int(min(MOST_TILE, max(LEAST_TILE, n // 24)))
     counts = homes.groupBy("cell").agg(
-        F.expr(f"1 + count_if(side = 0) div {tile_rows}").alias("homes"), F.expr(f"CASE WHEN count_if(side = 1) = 0 THEN 0 ELSE 1 + count_if(side = 1) div {tile_rows} END").alias("guests"))
-    dealt = homes.join(counts, "cell").withColumn("part", F.pmod(F.xxhash64("rep"), F.when(F.col("side") == 0, F.col("homes")).otherwise(F.greatest("guests", F.lit(1)))))
+        F.count("*").alias("n"), F.expr(f"1 + count_if(side = 0) div {tile_rows}").alias("homes"), F.expr(f"CASE WHEN count_if(side = 1) = 0 THEN 0 ELSE 1 + count_if(side = 1) div {tile_rows} END").alias("guests"))
+    counts = S.stored(counts, "counts")
+    dealt = S.join_hot(homes, counts, "cell", S.hot_keys(counts, "cell", "n")).withColumn("part", F.pmod(F.xxhash64("rep"), F.when(F.col("side") == 0, F.col("homes")).otherwise(F.greatest("guests", F.lit(1)))))
     # A part of the homes meets itself, the later parts and every part of the guests.
     steps = F.transform(F.sequence(F.lit(0).cast("long"), F.col("homes") - 1), lambda k: F.struct(
         F.least("part", k).alias("i"), F.greatest("part", k).alias("j"), F.when(F.col("part") < k, 0).when(F.col("part") > k, 1).otherwise(2).alias("s"), F.lit("h").alias("m")))

@@ -1,7 +1,7 @@
 """Near-duplicate documents with SetSketch registers: exponentially spaced truncated minima, banded for
 candidates, compared by joint likelihood, and confirmed on the full shingle sets.
 
-1. Every text becomes its set of word shingles (64-bit hashes), a 128-bit fingerprint of the set, and
+1. Every text becomes its set of word shingles (128-bit hashes), a 128-bit fingerprint of the set, and
    registers. Equal sets collapse to their smallest document.
 2. Registers in bands give buckets. The member that meets most others becomes the hub of each of its
    buckets; all members are tested against their hubs, and links give components.
@@ -12,6 +12,7 @@ candidates, compared by joint likelihood, and confirmed on the full shingle sets
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,28 +38,56 @@ TILE = 512
 #: Document ids sent to every executor at most, where only few texts are wanted.
 MOST_BROADCAST = 1_000_000
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+_FACTORS = _GOLDEN, np.uint64(0xD6E8FEB86659FD93)
 
 
 def shingles(texts: list[bytes], width: int) -> Iterator[np.ndarray]:
-    """Sorted distinct 64-bit hashes of the word windows of each text; A-Z count as a-z. With fewer words
-    than ``width`` all of them are one window; without words the set is empty."""
+    """The set of word windows of each text, as two rows of independent 64-bit hashes: 128 bits a window,
+    sorted and distinct. A-Z count as a-z. With fewer words than ``width`` all of them are one window;
+    without words the set is empty."""
     for k, end in batches(texts):
         seen = Segments(texts[k:end], fold=True)
-        h = seen.hashes
-        n = max(0, len(h) - width + 1)
-        mixed = np.full(n, width, dtype=np.uint64)
-        for j in range(width):
-            mixed = mix(mixed * _GOLDEN + h[j : j + n])
+        hashes = seen.hashes, seen.spans(seen.starts, seen.ends, seed=1)
+        n = max(0, len(seen.hashes) - width + 1)
+        mixed = np.empty((2, n), dtype=np.uint64)
+        for row, (h, factor) in enumerate(zip(hashes, _FACTORS, strict=True)):
+            one = np.full(n, width, dtype=np.uint64)
+            for j in range(width):
+                one = mix(one * factor + h[j : j + n])
+            mixed[row] = one
         for a, b in zip(seen.first[:-1].tolist(), seen.first[1:].tolist(), strict=True):
             if b - a >= width:
-                yield np.unique(mixed[a : b - width + 1])
+                yield distinct(mixed[:, a : b - width + 1])
             elif b > a:
-                one = np.full(1, b - a, dtype=np.uint64)
-                for x in h[a:b]:
-                    one = mix(one * _GOLDEN + x)
-                yield one
+                few = np.full((2, 1), b - a, dtype=np.uint64)
+                for row, (h, factor) in enumerate(zip(hashes, _FACTORS, strict=True)):
+                    for x in h[a:b]:
+                        few[row] = mix(few[row] * factor + x)
+                yield few
             else:
-                yield np.zeros(0, dtype=np.uint64)
+                yield np.zeros((2, 0), dtype=np.uint64)
+
+
+def distinct(pairs: np.ndarray) -> np.ndarray:
+    """Columns of two rows, sorted, each once."""
+    order = np.argsort(pairs[0])
+    a, b = pairs[0][order], pairs[1][order]
+    if ((a[1:] == a[:-1]) & (b[1:] != b[:-1])).any():
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+    keep = np.ones(len(a), dtype=bool)
+    keep[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return np.stack([a[keep], b[keep]])
+
+
+def as_set(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, dtype="<u8").reshape(2, -1)
+
+
+def fingerprint(grams: np.ndarray) -> tuple[int, int]:
+    """128 bits of BLAKE2b over a whole set."""
+    digest = hashlib.blake2b(grams.astype("<u8").tobytes(), digest_size=16).digest()
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
 
 def sketches(sets: list[np.ndarray], m: int = REGISTERS) -> np.ndarray:
@@ -131,13 +160,11 @@ def sign(docs: DataFrame, width: int) -> DataFrame:
             texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
             for k, end in batches(texts):
                 sets = list(shingles(texts[k:end], width))
-                registers = sketches(sets)
+                registers = sketches([s[0] for s in sets])
                 keys = band_keys(registers)
-                with np.errstate(over="ignore"):
-                    fp_a = [int(np.sum(mix(s), dtype=np.uint64).astype(np.int64)) for s in sets]
-                    fp_b = [int(np.bitwise_xor.reduce(mix(s * _GOLDEN + np.uint64(7))).astype(np.int64)) if len(s) else 0 for s in sets]
+                marks = [fingerprint(s) for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(k, end - k), pa.array([len(s) for s in sets], pa.int64()), pa.array(fp_a, pa.int64()), pa.array(fp_b, pa.int64()),
+                    [batch.column(0).slice(k, end - k), pa.array([s.shape[1] for s in sets], pa.int64()), pa.array([a for a, _ in marks], pa.int64()), pa.array([b for _, b in marks], pa.int64()),
                      pa.array([r.tobytes() for r in registers], pa.binary()), pa.array(list(keys), pa.list_(pa.int64()))],
                     ["doc_id", "n", "fp_a", "fp_b", "registers", "bands"])
 
@@ -199,10 +226,17 @@ def survivors(group: dict[str, np.ndarray], threshold: float) -> list[np.ndarray
 
 
 def common_size(a: np.ndarray, b: np.ndarray) -> int:
-    """Size of the common part of two sorted sets."""
-    a, b = (a, b) if len(a) <= len(b) else (b, a)
-    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
-    return int((b[at] == a).sum())
+    """Size of the common part of two sets."""
+    a, b = (a, b) if a.shape[1] <= b.shape[1] else (b, a)
+    at = np.minimum(np.searchsorted(b[0], a[0]), b.shape[1] - 1)
+    if (b[0][1:] == b[0][:-1]).any():  # one half shared by two windows
+        return len(set(zip(*a.tolist(), strict=True)) & set(zip(*b.tolist(), strict=True)))
+    return int(((b[0][at] == a[0]) & (b[1][at] == a[1])).sum())
+
+
+def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    common = common_size(a, b)
+    return 100 * common >= percent * (a.shape[1] + b.shape[1] - common)
 
 
 def confirmed(group: dict[str, np.ndarray], percent: int) -> list[np.ndarray] | None:
@@ -212,7 +246,7 @@ def confirmed(group: dict[str, np.ndarray], percent: int) -> list[np.ndarray] |
     place: dict[int, int] = {}
     for i, x in enumerate(ids):
         place.setdefault(x, i)
-    grams = [np.frombuffer(g, dtype="<u8") for g in group["grams"]]
+    grams = [as_set(g) for g in group["grams"]]
     root: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -227,8 +261,7 @@ def confirmed(group: dict[str, np.ndarray], percent: int) -> list[np.ndarray] |
             x, y = find(label[i]), find(label[j])
             if x == y:
                 continue
-            common = common_size(grams[i], grams[j])
-            if 100 * common >= percent * (len(grams[i]) + len(grams[j]) - common):
+            if similar(grams[i], grams[j], percent):
                 root[max(x, y)] = min(x, y)
                 out.append((ids[i], other))
     if not out:
@@ -242,13 +275,8 @@ def star_links(group: dict[str, np.ndarray], percent: int) -> list[np.ndarray] |
     hub = np.flatnonzero(group["side"] == 0)
     if not len(hub):
         return None
-    own = np.frombuffer(group["grams"][hub[0]], dtype="<u8")
-    found = []
-    for i in np.flatnonzero(group["side"] == 1):
-        other = np.frombuffer(group["grams"][i], dtype="<u8")
-        common = common_size(own, other)
-        if 100 * common >= percent * (len(own) + len(other) - common):
-            found.append(group["id"][i])
+    own = as_set(group["grams"][hub[0]])
+    found = [group["id"][i] for i in np.flatnonzero(group["side"] == 1) if similar(own, as_set(group["grams"][i]), percent)]
     if not found:
         return None
     return [np.array(found, dtype=np.int64), np.full(len(found), group["id"][hub[0]], dtype=np.int64)]
@@ -293,14 +321,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
     reps = S.stored(reps, "reps")
     one_each = known.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     banded = one_each.select(F.col("doc_id").alias("id"), F.posexplode("bands").alias("band", "key"))
-    crowded = banded.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    members = S.stored(banded.join(crowded, "key"), "members")
+    crowded = S.stored(banded.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "crowded")
+    hot = S.hot_keys(crowded, "key", "size")
+    members = S.stored(S.join_hot(banded, crowded, "key", hot), "members")
 
     # The best-connected member becomes the hub of its buckets.
     degree = members.groupBy("id").agg(F.sum("size").alias("degree"))
     hubs = members.join(degree, "id").groupBy("key").agg(F.max(F.struct("degree", "id")).alias("best")).select("key", F.col("best.id").alias("hub"))
     hubs = S.stored(hubs, "hubs")
-    pairs = members.join(hubs, "key").where("id <> hub").select("id", "hub").distinct()
+    pairs = S.join_hot(members, hubs, "key", hot).where("id <> hub").select("id", "hub").distinct()
     likely_ones = S.stored(likely_pairs(pairs, signed, threshold), "pairs")
     sets = sets_of(base, likely_ones.select("id").union(likely_ones.select(F.col("hub").alias("id"))), width)
     crowd = likely_ones.groupBy("hub").agg(F.expr("1 + count(*) div 256").alias("parts"))
@@ -317,10 +346,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
     open_keys = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
     hub_label = hubs.join(first.select(F.col("id").alias("hub"), F.col("component").alias("hub_label")), "hub", "left")
     hub_label = hub_label.select("key", F.coalesce("hub_label", "hub").alias("hub_label")).join(open_keys, "key", "left_semi")
-    open_ = labelled.join(hub_label, "key").withColumn("main", F.col("label") == F.col("hub_label"))
+    open_ = S.join_hot(labelled, hub_label, "key", hot).withColumn("main", F.col("label") == F.col("hub_label"))
     split = open_.groupBy("key").agg(
         F.expr(f"1 + count_if(main) div {TILE}").alias("mains"), F.expr(f"1 + count_if(NOT main) div {TILE}").alias("others"))
-    open_ = S.stored(open_.select("key", "band", "id", "label", "main").join(split, "key"), "open")
+    open_ = S.stored(S.join_hot(open_.select("key", "band", "id", "label", "main"), split, "key", hot), "open")
     # Blocks 0 .. others - 1 hold the others, the following ones the hub's component, of which two
     # blocks never meet. A block meets itself as one side.
     draw = F.xxhash64("id")

@@ -23,12 +23,12 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from . import _shared as S
-from ._text import Growing, Memo, Segments, batches
+from ._text import Growing, Segments, WordMemory, batches, places
 
 #: Share of a bin that may stay empty when a rest is kept whole.
 SLACK = 0.03
-#: Words whose ids a worker remembers.
-MOST_WORDS = 900_000
+#: Words whose ids a worker remembers, and ids it holds for them.
+MOST_WORDS, MOST_IDS = 900_000, 8_000_000
 #: Words encoded in one call.
 CALL_WORDS = 10_000
 #: Signs that form pieces of their own around letters, whatever they are; no apostrophe, digit or "<".
@@ -65,7 +65,7 @@ class WordTokens:
         self.clear()
 
     def clear(self) -> None:
-        self.memo = Memo(MOST_WORDS)
+        self.memory = WordMemory(MOST_WORDS)
         self.flat, self.start, self.length = Growing(np.uint32), Growing(np.int64), Growing(np.int64)
 
     def plain(self, word: str) -> int:
@@ -96,27 +96,27 @@ class WordTokens:
             out[i] = np.array(e.ids, dtype=np.uint32)
         return out
 
+    def slots(self, words: list[bytes]) -> np.ndarray:
+        """Encode the words and keep their ids; the number under which each is kept."""
+        got = self.encode([w.decode("utf-8", "replace") for w in words])
+        length = np.array([len(x) for x in got], dtype=np.int64)
+        first = self.start.n
+        self.start.extend(self.flat.n + np.cumsum(length) - length)
+        self.length.extend(length)
+        self.flat.extend(np.concatenate(got))
+        return first + np.arange(len(words))
+
     def ids(self, texts: list[bytes]) -> Iterator[np.ndarray]:
         """Ids of each text."""
         for k, end in batches(texts, 1_000_000):
-            seen = Segments(texts[k:end])
-            keys, where, back = np.unique(seen.hashes, return_index=True, return_inverse=True)
-            if self.memo.full:
+            # Words that are too long to be remembered leave ids behind.
+            if self.memory.full or self.flat.n > MOST_IDS:
                 self.clear()
-            known, slots = self.memo.find(keys)
-            if len(new := np.flatnonzero(~known)):
-                got = self.encode([seen.word(i).decode("utf-8", "replace") for i in where[new].tolist()])
-                length = np.array([len(x) for x in got], dtype=np.int64)
-                slots[new] = self.start.n + np.arange(len(new))
-                self.start.extend(self.flat.n + np.cumsum(length) - length)
-                self.length.extend(length)
-                self.flat.extend(np.concatenate(got))
-                self.memo.add(keys[new], slots[new])
-            each = slots[back]
+            seen = Segments(texts[k:end])
+            each = self.memory.values(seen, self.slots)
             length = self.length.room[each]
             total = np.concatenate([[0], np.cumsum(length)])
-            at = np.arange(total[-1]) + np.repeat(self.start.room[each] - total[:-1], length)
-            flat = self.flat.room[at]
+            flat = self.flat.room[places(self.start.room[each], length)]
             bounds = total[seen.first]
             for i in range(end - k):
                 yield flat[bounds[i] : bounds[i + 1]]

@@ -1,11 +1,10 @@
 """Token counts by a finite-state transducer compiled from a byte-pair vocabulary.
 
 The tokenizer is turned into a deterministic transducer over characters whose transitions carry the
-change in the number of emitted tokens. A text is cut into chunks; each chunk's state map - what it
-does to any entering state - is a constant from its first white space on, where every state meets,
-and a run over the characters before it. The maps compose from left to right, so all chunks run side
-by side and only those short heads wait for their neighbour. The map of a word between white space is a
-constant whatever comes before, so it is remembered, and only words not seen before are run.
+change in the number of emitted tokens. A text is cut into chunks that run side by side; each chunk's
+state map - what it does to the states that may enter it - is a constant from its first white space on,
+where every state meets. A parallel prefix scan composes the maps. The map of a word between white space
+is a constant whatever comes before, so it is remembered, and only words not seen before are run.
 
 Byte-pair merging becomes finite-state through one fact: a token sequence is what merging gives if and
 only if every two neighbours in it are (merging their joined characters gives these two). So of a
@@ -26,12 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _shared as S
-from ._text import Memo, Segments, batches
+from ._text import Segments, WordMemory, batches
 
 #: Characters of a chunk: enough chunks to fill vectors, long enough to hide their heads.
 CHUNK = 256
 #: Characters with a column in the dense table; the others take a slower way to the same result.
 DENSE = 64
+#: Characters that run at once, and the last ones of a chunk that suggest in which state it ends.
+BLOCK, WARM = 1 << 18, 48
 #: States after which the tables start afresh, and words whose state map is remembered, so that memory
 #: stays bounded.
 MOST_STATES, MOST_WORDS = 250_000, 2_000_000
@@ -151,7 +152,7 @@ class Transducer:
             spec = json.load(f)
         model = spec["model"]
         self.specials = [t["content"] for t in spec["added_tokens"]]
-        self.memo = Memo(MOST_WORDS)
+        self.memory = WordMemory(MOST_WORDS)
         self.special = re.compile("|".join(map(re.escape, self.specials))) if self.specials else None
         self.source = (model["vocab"], model["merges"], model["end_of_word_suffix"])
         self.letters = byte_letters()
@@ -277,17 +278,23 @@ class Transducer:
             after[lack], gains[lack] = self.missing(states[lack], symbols[lack])
         return after, gains
 
-    def gains(self, codes: np.ndarray) -> np.ndarray:
-        """Tokens gained at each of the characters, which start in the start state."""
-        if len(self.states) > MOST_STATES:
-            self.clear()
+    def as_symbols(self, codes: np.ndarray) -> np.ndarray:
         symbols = self.look_up[codes]
         if len(new := np.flatnonzero(symbols < 0)):
             for code in np.unique(codes[new]).tolist():
                 self.symbol(chr(code))
             symbols = self.look_up[codes]
+        return symbols
+
+    def gains(self, codes: np.ndarray, enter: int = START) -> tuple[np.ndarray, int]:
+        """(tokens gained at each of the characters, state after them) from an entering state.
+
+        What a chunk gains before its first white space stands at its first character.
+        """
+        symbols = self.as_symbols(codes)
         lanes = -(-len(symbols) // CHUNK)
-        grid = np.zeros(lanes * CHUNK, dtype=np.int32)  # symbol 0 is white space
+        # What fills the last chunk is white space, but its state is taken before it.
+        grid = np.zeros(lanes * CHUNK, dtype=np.int32)
         grid[: len(symbols)] = symbols
         white = np.array([self.kinds[c] == " " for c in self.symbols])
         rows = grid.reshape(lanes, CHUNK)
@@ -297,39 +304,65 @@ class Transducer:
         # From the first white space on, nothing depends on the entering state.
         steps = np.ascontiguousarray(np.where(np.arange(CHUNK)[None, :] < head[:, None], 0, rows).T)
         state = np.zeros(lanes, dtype=np.int32)
+        stop = len(symbols) - (lanes - 1) * CHUNK
+        last = self.START
         for t in range(CHUNK):
             state, out[t] = self.step(state, steps[t])
-        if lanes:
-            self.heads(rows, head, state, out)
-        return out.T.ravel()[: len(symbols)]
-
-    def heads(self, rows: np.ndarray, head: np.ndarray, tail: np.ndarray, out: np.ndarray) -> None:
-        """Compose the maps: run each chunk's head from the state in which its neighbour ends. Chunks
-        without white space are all head and pass their state on, in as many rounds as such chunks
-        stand in a row."""
+            if t == stop - 1:
+                last = int(state[-1])
+        entry, gained, left = self.heads(rows, head, state, enter, stop)
+        out[0] += gained
+        return out.T.ravel()[: len(symbols)], last if head[-1] < stop else left
+
+    def run(self, rows: np.ndarray, length: np.ndarray, chunk: np.ndarray, enter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(state after, tokens gained) of the first ``length`` characters of each chunk from the states entered."""
+        state, gained = enter.astype(np.int32), np.zeros(len(chunk), dtype=np.int64)
+        most = length[chunk]
+        for t in range(int(most.max(initial=0))):
+            on = np.flatnonzero(most > t)
+            state[on], got = self.step(state[on], rows[chunk[on], t])
+            gained[on] += got
+        return state, gained
+
+    def heads(self, rows: np.ndarray, head: np.ndarray, tail: np.ndarray, enter: int, stop: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """(entering state, tokens gained in the head, by chunk; state after the last one if it is all head).
+
+        A chunk's state map holds the states that may enter it: the one known where its neighbour holds
+        white space, and else what the neighbour's last characters suggest and what its own map leads
+        to. All maps grow side by side until none leads out of the next; then they are composed by a
+        prefix scan, in as many rounds as the longest run of chunks without white space has bits.
+        """
         lanes = len(rows)
-        known = head < CHUNK
-        before = np.concatenate([[self.START], tail[:-1]]).astype(np.int32)
-        ready = np.concatenate([[True], known[:-1]])
-        todo = np.ones(lanes, dtype=bool)
-        while todo.any():
-            now = np.flatnonzero(todo & ready)
-            todo[now] = False
-            state = before[now].copy()
-            for t in range(int(head[now].max(initial=0)) + 1):
-                # One step past the head: the white space that closes its last piece.
-                on = np.flatnonzero(head[now] >= t)
-                on = on[t < CHUNK] if t >= CHUNK else on
-                if t == CHUNK or not len(on):
-                    break
-                state[on], got = self.step(state[on], rows[now[on], t])
-                out[t, now[on]] = got
-            through = np.flatnonzero(~known[now])
-            tail[now[through]] = state[through]
-            after = now[through] + 1
-            inside = after < lanes
-            before[after[inside]] = state[through][inside]
-            ready[after[inside]] = True
+        through = head == CHUNK
+        through[-1] = head[-1] >= stop
+        length = np.minimum(head + 1, CHUNK)
+        length[-1] = min(int(head[-1]) + 1, stop)
+        anchor = np.ones(lanes, dtype=bool)
+        anchor[1:] = ~through[:-1]
+        before = np.concatenate([[enter], tail[:-1]]).astype(np.int64)
+        if len(inner := np.flatnonzero(~anchor)):
+            warm = min(WARM, CHUNK)
+            before[inner] = self.run(rows[:, CHUNK - warm :], np.full(lanes, warm), inner - 1, np.full(len(inner), self.START))[0]
+        known, after, gained = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        front = np.arange(lanes) << 32 | before
+        while len(front):
+            state, got = self.run(rows, length, front >> 32, front & 0xFFFFFFFF)
+            leads = ((front >> 32) + 1) << 32 | state
+            at = np.searchsorted(known, front)
+            known, after, gained = np.insert(known, at, front), np.insert(after, at, leads), np.insert(gained, at, got)
+            leads = np.unique(leads[through[front >> 32]])
+            leads = leads[leads >> 32 < lanes]
+            front = leads[~np.isin(leads, known)]
+        # The prefix scan: jump[e] is the entry that lies 1, 2, 4, ... chunks after e.
+        jump = np.minimum(np.searchsorted(known, after), len(known) - 1)
+        starts = np.flatnonzero(anchor)
+        steps = np.arange(lanes) - starts[np.cumsum(anchor) - 1]
+        entry = np.searchsorted(known, np.arange(lanes) - steps << 32 | before[np.arange(lanes) - steps])
+        for bit in range(int(steps.max(initial=0)).bit_length()):
+            on = steps >> bit & 1 > 0
+            entry[on] = jump[entry[on]]
+            jump = jump[jump]
+        return known[entry] & 0xFFFFFFFF, gained[entry], int(after[entry[-1]] & 0xFFFFFFFF)
 
     def prepare(self, text: str) -> tuple[str, int]:
         """(normalised text, special strings taken out of it); those become white space."""
@@ -344,8 +377,27 @@ class Transducer:
     def words(self, words: list[str]) -> np.ndarray:
         """Tokens of each word (a string without ASCII white space)."""
         codes = np.frombuffer("\n".join([*words, ""]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        starts = np.concatenate([[0], np.cumsum([len(w) + 1 for w in words])[:-1]]).astype(np.int64)
-        return np.add.reduceat(self.gains(codes).astype(np.int64), starts)
+        edges = np.concatenate([[0], np.cumsum([len(w) + 1 for w in words])]).astype(np.int64)
+        total, state = np.zeros(len(words), dtype=np.int64), self.START
+        for k in range(0, len(codes), BLOCK):
+            if len(self.states) > MOST_STATES:
+                state = self.afresh(state)
+            got, state = self.gains(codes[k : k + BLOCK], state)
+            sums = np.concatenate([[0], np.cumsum(got.astype(np.int64))])
+            a, b = np.searchsorted(edges, [k, k + len(got)], side="right") - 1
+            inside = np.clip(edges[a : b + 2] - k, 0, len(got))
+            total[a : b + 1] += np.diff(sums[inside])[: len(total) - a]
+        return total
+
+    def afresh(self, state: int) -> int:
+        """Empty the tables; the number of ``state`` in the new ones."""
+        mode, at, held = self.states[state]
+        inner = self.merges.states[at]
+        self.clear()
+        return self.number((mode, self.merges.number(inner), held))
+
+    def words_of(self, words: list[bytes]) -> np.ndarray:
+        return self.words([w.decode("utf-8", "surrogatepass") for w in words])
 
     def counts(self, texts: Iterable[str | None]) -> np.ndarray:
         """Tokens of each text; null counts as empty."""
@@ -356,18 +408,11 @@ class Transducer:
             result.append(n)
         result = np.array(result, dtype=np.int64)
         for k, end in batches(ready, 1_000_000):
+            if self.memory.full:
+                self.memory = WordMemory(MOST_WORDS)
             seen = Segments(ready[k:end])
-            if not len(seen.hashes):
-                continue
-            keys, where, back = np.unique(seen.hashes, return_index=True, return_inverse=True)
-            known, values = self.memo.find(keys)
-            new = np.flatnonzero(~known)
-            if len(new):
-                values[new] = self.words([seen.word(i).decode("utf-8", "surrogatepass") for i in where[new].tolist()])
-                if self.memo.full:
-                    self.memo.clear()
-                self.memo.add(keys[new], values[new])
-            sums = np.concatenate([[0], np.cumsum(values[back])])
+            values = self.memory.values(seen, self.words_of)
+            sums = np.concatenate([[0], np.cumsum(values)])
             result[k:end] += sums[seen.first[1:]] - sums[seen.first[:-1]]
         return result
 

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from colstride.llm import _graph, embeddings, neardup
+from colstride.llm import _graph, _shared, embeddings, neardup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SF = "/root/testdata/sf0.01"
@@ -83,6 +83,36 @@ def test_large_groups_are_split_into_tiles(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs, 3, 85).collect()} == brute(pairs, 3, 85)
 
 
+def thue_morse(n, swap=False):
+    return "".join("ab"[(k.bit_count() + swap) % 2] for k in range(n))
+
+
+def test_words_that_collide_under_weak_hashes(spark):
+    a, b = thue_morse(1024), thue_morse(1024, True)
+    pairs = [(1, a), (2, b), (3, f"x {a} y {b} z"), (4, f"x {b} y {a} z"), (5, f"x {a} y {b} z")]
+    found = neardup.near_duplicates(spark.createDataFrame(pairs, "doc_id long, text string"), 3, 85).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute(pairs, 3, 85)
+
+
+def test_sets_with_a_shared_half():
+    pairs = np.array([[5, 5, 7, 5, 9, 7], [1, 2, 3, 1, 4, 3]], dtype=np.uint64)
+    a = neardup.distinct(pairs)
+    assert sorted(zip(*a.tolist())) == [(5, 1), (5, 2), (7, 3), (9, 4)]
+    b = neardup.distinct(np.array([[5, 7, 9, 1, 2], [2, 9, 4, 1, 1]], dtype=np.uint64))
+    assert neardup.common_size(a, b) == neardup.common_size(b, a) == 2
+
+
+def test_hot_keys_change_nothing(spark, monkeypatch):
+    monkeypatch.setattr(_shared, "HOT_ROWS", 3)
+    monkeypatch.setattr(_shared, "HOT_FRACTION", 10)
+    pairs = list(enumerate(copies(4, 60)))
+    docs = spark.createDataFrame(pairs, "doc_id long, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs, 3, 85).collect()} == brute(pairs, 3, 85)
+    star = [(0, i) for i in range(1, 60)] + [(70, i) for i in range(40, 60)] + [(80, 81)]
+    found = {r.id: r.component for r in _graph.components(spark.createDataFrame(star, "a long, b long")).collect()}
+    assert found == {**{i: 0 for i in range(60)}, 70: 0, 80: 80, 81: 80}
+
+
 def test_no_rows_null_ids_and_repeated_ids(spark):
     schema = "doc_id long, text string"
     assert neardup.near_duplicates(spark.createDataFrame([], schema)).count() == 0

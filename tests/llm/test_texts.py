@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from colstride.llm._text import Segments
-from colstride.llm import _shared, langid, pii, quality, queries, token_fst, toxicity
+from colstride.llm import _shared, langid, packing, pii, quality, queries, token_fst, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SF = "/root/testdata/sf0.01"
@@ -162,6 +162,46 @@ def test_chunk_maps_compose(machine, monkeypatch):
     assert (machine.words(words) == whole).all()
 
 
+def thue_morse(n, swap=False):
+    """Words that collide under any polynomial hash modulo 2 ** 64."""
+    return "".join("ab"[(k.bit_count() + swap) % 2] for k in range(n))
+
+
+def test_words_that_share_a_hash_stay_apart(machine, monkeypatch):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(queries.vocabulary())
+    texts = [thue_morse(1024) + " " + thue_morse(1024, True), thue_morse(1024, True), "apple pear apple", "pear plum banana extraordinarily", "extraordinarilY apple", "a\x00 a a\x00\x00 " + "b" * 70, ""]
+    expected = [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert machine.counts(texts).tolist() == expected
+    hashes = Segments([t.encode() for t in texts]).hashes
+    assert len(np.unique(hashes)) == len({w for t in texts for w in t.split(" ") if w})
+    for few in (1, 3):
+        # Nearly all words share a hash: bytes decide.
+        monkeypatch.setattr(Segments, "spans", lambda self, a, b, seed=0, few=few, own=Segments.spans: own(self, a, b, seed) % np.uint64(few))
+        forgetful = token_fst.Transducer(queries.vocabulary())
+        for order in (texts, texts[::-1], texts):
+            assert forgetful.counts(order).tolist() == [len(e.ids) for e in library.encode_batch(order, add_special_tokens=False)]
+        tokens = packing.WordTokens(queries.vocabulary())
+        for order in (texts, texts[::-1], texts):
+            assert [x.tolist() for x in tokens.ids([t.encode() for t in order])] == [e.ids for e in library.encode_batch(order, add_special_tokens=False)]
+
+
+def test_long_words_run_in_parallel(machine, monkeypatch):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(queries.vocabulary())
+    rng = np.random.default_rng(3)
+    texts = ["".join(rng.choice(list("abcdeinorst'é1."), n)) for n in (255, 256, 257, 511, 3000)] + ["mississippi" * 40_000, "x y " + "'re" * 3000 + " z"]
+    expected = [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert machine.counts(texts).tolist() == expected
+    # Blocks that end anywhere, tables that start afresh in the middle of a word, and no warm start.
+    monkeypatch.setattr(token_fst, "BLOCK", 1000)
+    monkeypatch.setattr(token_fst, "MOST_STATES", 300)
+    monkeypatch.setattr(token_fst, "WARM", 0)
+    assert token_fst.Transducer(queries.vocabulary()).counts(texts[:5] + texts[6:]).tolist() == expected[:5] + expected[6:]
+
+
 def test_neighbours(machine):
     merges, rng = machine.merges, np.random.default_rng(4)
     vocab = list(merges.vocab)
