@@ -81,6 +81,15 @@ def slices(batches: Iterable, rows: int = 512) -> Iterator:
             yield batch.slice(k, rows)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` doesn't have, whatever the case."""
+    known = {c.lower() for c in df.columns}
+    name = f"_{name}"
+    while name.lower() in known:
+        name += "_"
+    return name
+
+
 def words(text: Column) -> Column:
     """The words of a text as an array; null text: empty array."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), GAP), lambda w: w != "")

@@ -61,25 +61,23 @@ SELECT doc_id, source, size, source_size, target, CAST(whole * size + greatest(0
 
 def op4() -> str:
     """The measures, the votes, and the rounds of the estimation as one recursive query."""
-    rules = [sql for _, sql in quality.RULES]
-    names = [name for name, _ in quality.RULES]
-    priors, rates = quality.start_model(names)
-    n_classes, n_rules = len(priors), len(names)
-    votes = ", ".join(rules)
-    flat = [r for row in rates for r in row]
+    n_rules = len(quality.RULES)
+    priors, rates = quality.start_model(n_rules)
+    votes = ", ".join(sql for _, sql in quality.RULES)
     lit = lambda xs: "[" + ", ".join(f"{x!r}::DOUBLE" for x in xs) + "]"
     ks = range(n_rules)
     # Log score of class c for the votes of a pattern, from the current model m.
     score = lambda c: f"ln(m.p[{c + 1}]) + " + " + ".join(
         f"CASE WHEN t.v[{k + 1}] < 0 THEN ln(m.r[{c * n_rules + k + 1}]) WHEN t.v[{k + 1}] > 0 THEN ln(1 - m.r[{c * n_rules + k + 1}]) ELSE 0 END" for k in ks)
-    scores = "[" + ", ".join(score(c) for c in range(n_classes)) + "]"
-    share = lambda c: f"(e.q[{c + 1}] * e.n)"
-    mass = ", ".join(f"{quality.SMOOTH * priors[c]!r} + sum({share(c)})" for c in range(n_classes))
-    top = [quality.MOST_MINUS_ON_QUALITY] + [1 - 1e-6] * (n_classes - 1)
+    good = f"1 / (1 + exp(least(({score(1)}) - ({score(0)}), 700)))"
+    share = ("(e.q * e.n)", "((1 - e.q) * e.n)")
+    belief = f"{quality.BELIEF!r} * greatest(1, sum(e.n))"
+    mass = [f"({belief} * {priors[c]!r} + sum({share[c]}))" for c in range(2)]
     new = ", ".join(
-        f"least({top[c]!r}, greatest(1e-6, ({quality.SMOOTH * rates[c][k]!r} + sum(CASE WHEN e.v[{k + 1}] < 0 THEN {share(c)} ELSE 0 END)) / ({quality.SMOOTH!r} + sum(CASE WHEN e.v[{k + 1}] <> 0 THEN {share(c)} ELSE 0 END))))"
-        for c in range(n_classes) for k in ks)
-    soft = f"list_transform({{s}}, lambda x: exp(x - list_max({{s}})) / list_sum(list_transform({{s}}, lambda y: exp(y - list_max({{s}})))))"
+        f"({belief} * {priors[c]!r} * {rates[c][k]!r} + sum(CASE WHEN e.v[{k + 1}] < 0 THEN {share[c]} ELSE 0 END)) / ({belief} * {priors[c]!r} + sum(CASE WHEN e.v[{k + 1}] <> 0 THEN {share[c]} ELSE 0 END))"
+        for c in range(2) for k in ks)
+    # DuckDB's patterns can't look around, so plain words and ends are found word by word.
+    plain = r"^[(\"]?\p{L}+(?:[''-]\p{L}+)?[.,;:!?)\"]{0,2}$"
     return rf"""
 WITH RECURSIVE raw AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS.format("text")} AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
 win AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, w FROM raw WHERE len(w) >= 3),
@@ -88,17 +86,18 @@ twice AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g
 covered AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM twice) GROUP BY doc_id),
 base AS (SELECT raw.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
   CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words,
-  len(l) AS n_lines, len(regexp_extract_all(text, '\p{{Lu}}')) AS n_upper, len(regexp_extract_all(text, '\p{{L}}')) AS n_letters, len(regexp_extract_all(text, '!')) AS n_exclaims,
-  len(list_filter(w, lambda x: length(x) <= 3)) AS n_short FROM raw LEFT JOIN covered c ON c.doc_id = raw.doc_id),
+  len(regexp_extract_all(text, '\p{{Lu}}')) AS n_upper, len(regexp_extract_all(text, '\p{{L}}')) AS n_letters, len(regexp_extract_all(text, '!')) AS n_exclaims,
+  len(list_filter(w, lambda x: length(x) <= 3)) AS n_short, len(list_filter(w, lambda x: regexp_matches(x, '{plain}'))) AS n_plain, len(list_filter(w, lambda x: regexp_matches(x, '[.!?]$'))) AS n_ends
+  FROM raw LEFT JOIN covered c ON c.doc_id = raw.doc_id),
 voted AS (SELECT *, [{votes}] AS v FROM base),
 tally AS (SELECT v, count(*) AS n FROM voted GROUP BY v),
 model(round, p, r) AS (
-  SELECT 0, {lit(priors)}, {lit(flat)}
+  SELECT 0, {lit(priors)}, {lit([r for row in rates for r in row])}
   UNION ALL
-  SELECT e.round + 1, list_transform([{mass}], lambda x: x / list_sum([{mass}])), [{new}] FROM (
-    SELECT s.round, s.v, s.n, {soft.format(s="s.s")} AS q FROM (SELECT m.round, t.v, t.n, {scores} AS s FROM model m, tally t WHERE m.round < {quality.ROUNDS}) s) e GROUP BY e.round
+  SELECT e.round + 1, [{mass[0]} / ({mass[0]} + {mass[1]}), {mass[1]} / ({mass[0]} + {mass[1]})], [{new}] FROM (
+    SELECT m.round, t.v, t.n, {good} AS q FROM model m, tally t WHERE m.round < {quality.ROUNDS}) e GROUP BY e.round
 ),
-fitted AS (SELECT t.v, {soft.format(s="t.s")}[1] AS good FROM (SELECT t.v, {scores} AS s FROM model m, tally t WHERE m.round = {quality.ROUNDS}) t)
+fitted AS (SELECT t.v, {good} AS good FROM model m, tally t WHERE m.round = {quality.ROUNDS})
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
   NOT (n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words) AND good >= {quality.KEEP} AS kept FROM voted JOIN fitted USING (v)
 """
