@@ -1 +1 @@
-"""A columnar analytics engine on Spark DataFrames: position lists, grouping, codecs, statistics."""
+"""A columnar analytics library on Spark DataFrames: position lists, grouping, codecs, statistics."""

@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import uint64 as U
 
-#: Comparisons and the arithmetic of one lane (values below 2 ** 63; see uint64 for the full range).
-COMPARE: dict[str, Callable[[Column, Column], Column]] = {
+#: Comparisons of values as they are: decimals, floating point, text.
+PLAIN: dict[str, Callable[[Column, Column], Column]] = {
     "equal": lambda a, b: a == b,
     "not_equal": lambda a, b: a != b,
     "less": lambda a, b: a < b,
@@ -18,6 +19,16 @@ COMPARE: dict[str, Callable[[Column, Column], Column]] = {
     "greater": lambda a, b: a > b,
     "greaterequal": lambda a, b: a >= b,
 }
+#: Comparisons of longs as the unsigned numbers whose patterns they are.
+COMPARE: dict[str, Callable[[Column, Column], Column]] = {
+    "equal": PLAIN["equal"],
+    "not_equal": PLAIN["not_equal"],
+    "less": U.bits_less,
+    "lessequal": U.bits_less_equal,
+    "greater": lambda a, b: U.bits_less(b, a),
+    "greaterequal": lambda a, b: U.bits_less_equal(b, a),
+}
+#: The arithmetic of one lane: exact unsigned results, but for "min", which gives a pattern for patterns.
 CALC: dict[str, Callable[[Column, Column], Column]] = {
     "add": U.add,
     "sub": U.sub,
@@ -26,6 +37,27 @@ CALC: dict[str, Callable[[Column, Column], Column]] = {
     "mod": U.mod,
     "min": F.least,
 }
+
+
+def is_pattern(kind: T.DataType) -> bool:
+    """Whether values of a type stand for 64-bit patterns."""
+    return isinstance(kind, T.IntegralType)
+
+
+def compare_bound(op: str, value: Column, bound: int) -> Column:
+    """A column of patterns against an unsigned number, by plain comparisons that a scan can take over."""
+    if not 0 <= bound < 1 << 64:
+        raise ValueError(f"{bound} is no unsigned 64-bit number")
+    top = bound >= 1 << 63  # then the bound's pattern is negative, like those of all larger numbers
+    limit = F.lit(bound - (1 << 64) if top else bound)
+    if op in ("equal", "not_equal"):
+        return PLAIN[op](value, limit)
+    inner = PLAIN[op](value, limit)
+    if op in ("less", "lessequal"):
+        return (value >= 0) | inner if top else (value >= 0) & inner
+    return (value < 0) & inner if top else (value < 0) | inner
+
+
 UNARY: dict[str, Callable[[Column], Column]] = {"inv": U.neg}
 LOGIC: dict[str, Callable[[Column, Column], Column]] = {
     "bitwise_and": lambda a, b: a.bitwiseAND(b),

@@ -136,3 +136,31 @@ def count_leading_zero(value: Column) -> Column:
 def sum_wrapped(value: Column) -> Column:
     """Aggregate: sum modulo 2 ** 64; 0 over no rows."""
     return F.coalesce(wrap(F.sum(u64(value))), F.lit(0).cast(UINT64))
+
+
+#: Bits of the parts in which patterns are summed: sums of up to 2 ** 40 rows fit a long.
+LIMB, _LIMBS = 22, ("_low", "_middle", "_high")
+
+
+def limb_sums(bits: Column) -> list[Column]:
+    """Aggregates: the sums of the low, middle and high bits of patterns, each a plain sum of longs."""
+    mask = F.lit((1 << LIMB) - 1)
+    v = bits.cast("long")
+    parts = (v.bitwiseAND(mask), F.shiftrightunsigned(v, LIMB).bitwiseAND(mask), F.shiftrightunsigned(v, 2 * LIMB))
+    return [F.coalesce(F.sum(p), F.lit(0)).alias(name) for p, name in zip(parts, _LIMBS, strict=True)]
+
+
+def of_limbs() -> Column:
+    """The pattern of the sum whose parts ``limb_sums`` gave, modulo 2 ** 64."""
+    total = sum((F.col(name).cast("decimal(19,0)") * F.lit(str(1 << k * LIMB)).cast("decimal(19,0)") for k, name in enumerate(_LIMBS[1:], 1)), F.col(_LIMBS[0]).cast("decimal(38,0)"))
+    return to_bits(wrap(total))
+
+
+def least(a: Column, b: Column) -> Column:
+    """The smaller of two patterns as unsigned numbers."""
+    return F.when(bits_less(b, a), b).otherwise(a)
+
+
+def ordered(bits: Column) -> Column:
+    """Patterns as longs that compare as the unsigned numbers do; its own inverse."""
+    return bits.bitwiseXOR(F.lit(SIGN))

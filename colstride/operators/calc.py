@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import uint64 as U
-from ..functions.primitives import CALC, COMPARE, UNARY
+from ..functions.primitives import CALC, COMPARE, PLAIN, UNARY, is_pattern
 
 
 def calc_unary(column: DataFrame, op: str | Callable[[Column], Column], value: str = "v", pos: str = "pos") -> DataFrame:
@@ -18,7 +18,9 @@ def calc_unary(column: DataFrame, op: str | Callable[[Column], Column], value: s
 
 
 def increment(column: DataFrame, value: str = "v", pos: str = "pos") -> DataFrame:
-    return calc_unary(column, lambda x: x + 1, value, pos)
+    """(pos, v + 1); the largest unsigned number becomes 0."""
+    # The only pattern whose successor is no long is that of 2 ** 63 - 1.
+    return calc_unary(column, lambda x: F.when(x == (1 << 63) - 1, F.lit(-(1 << 63))).otherwise(x + 1), value, pos)
 
 
 def paired(left: DataFrame, right: DataFrame, check: bool = True) -> DataFrame:
@@ -31,15 +33,43 @@ def paired(left: DataFrame, right: DataFrame, check: bool = True) -> DataFrame:
 def calc_binary(left: DataFrame, right: DataFrame, op: str | Callable[[Column, Column], Column], check: bool = True) -> DataFrame:
     """(pos, v) of two columns; "add", "sub", "mul", "div", "mod", "min" work modulo 2 ** 64.
 
-    Columns of one table need no call: write the expression in one ``select``, and nothing is joined.
+    For columns of one frame use ``calc``, which joins nothing.
     """
-    f = CALC[op] if isinstance(op, str) else op
-    return paired(left, right, check).select("pos", f(F.col("a"), F.col("b")).alias("v"))
+    return _calculated(paired(left, right, check), op)
+
+
+def calc(frame: DataFrame, op: str, a: str, b: str, pos: str = "pos") -> DataFrame:
+    """(pos, v) of two columns of one frame: ``calc_binary`` without a join."""
+    return _calculated(frame.select(F.col(pos).alias("pos"), F.col(a).alias("a"), F.col(b).alias("b")), op)
+
+
+def compare(frame: DataFrame, op: str, a: str, b: str, pos: str = "pos") -> DataFrame:
+    """(pos, v) with a boolean v of two columns of one frame."""
+    both = all(is_pattern(frame.schema[c].dataType) for c in (a, b))
+    return frame.select(F.col(pos).alias("pos"), (COMPARE if both else PLAIN)[op](F.col(a), F.col(b)).alias("v"))
+
+
+def _calculated(pairs: DataFrame, op: str | Callable[[Column, Column], Column]) -> DataFrame:
+    a, b = F.col("a"), F.col("b")
+    patterns = [is_pattern(pairs.schema[c].dataType) for c in ("a", "b")]
+    if not isinstance(op, str):
+        value = op(a, b)
+    elif op == "min":
+        value = U.least(a, b) if all(patterns) else F.least(a, b)
+    else:
+        # Sums, differences and products of patterns wrap to the same results as those of the numbers.
+        a, b = (U.from_bits(c) if op in ("div", "mod") and is_bits else c for c, is_bits in zip((a, b), patterns, strict=True))
+        value = CALC[op](a, b)
+    return pairs.select("pos", value.alias("v"))
+
+
+def _patterns(left: DataFrame, right: DataFrame) -> bool:
+    return all(is_pattern(df.schema["v"].dataType) for df in (left, right))
 
 
 def compare_binary(left: DataFrame, right: DataFrame, op: str | Callable[[Column, Column], Column], check: bool = True) -> DataFrame:
     """(pos, v) with a boolean v."""
-    f = COMPARE[op] if isinstance(op, str) else op
+    f = (COMPARE if _patterns(left, right) else PLAIN)[op] if isinstance(op, str) else op
     return paired(left, right, check).select("pos", f(F.col("a"), F.col("b")).alias("v"))
 
 

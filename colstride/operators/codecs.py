@@ -15,7 +15,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import uint64 as U
+from ..sources.columns import numbered
 from . import kernels as K
+from .projection import project
 
 #: Values of a page, and the formats by code; 1 .. 64 stand for static widths.
 PAGE = 2048
@@ -95,14 +97,32 @@ def k_wise_sizes(column: DataFrame, k: int = 2) -> DataFrame:
 
 
 def _pages(column: DataFrame, page: int, schema: str, work: Callable[[int, np.ndarray], tuple]) -> DataFrame:
+    """A row of ``work`` for each page; tasks take many pages, one after the other."""
     names = [part.split()[0] for part in schema.split(", ")]
+    types = [{"long": pa.int64(), "binary": pa.binary()}[part.split()[1]] for part in schema.split(", ")]
 
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("pos")
-        row = work(table["page"][0].as_py(), table["v"].to_numpy().view(np.uint64) if table["v"].type == pa.int64() else table["v"].to_numpy())
-        return pa.table({name: [value] for name, value in zip(names, row, strict=True)})
+    def run(batches):
+        held: list[tuple[int, np.ndarray]] = []
+
+        def rows(parts: list[tuple[int, np.ndarray]]):
+            return work(parts[0][0], np.concatenate([v for _, v in parts]))
 
-    return column.select("pos", "v", block_of(page).alias("page")).groupBy("page").applyInArrow(run, schema)
+        for batch in batches:
+            number, v = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64).view(np.uint64)
+            edges = np.append(np.flatnonzero(np.diff(number, prepend=number[:1] - 1)), len(number)).tolist()
+            out = []
+            for a, b in zip(edges, edges[1:]):
+                if held and held[0][0] != number[a]:
+                    out.append(rows(held))
+                    held = []
+                held.append((int(number[a]), v[a:b]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(rows(held), types, strict=True)], names)
+
+    dealt = column.select(block_of(page).alias("page"), F.col("v").cast("long").alias("v"), "pos").repartition("page").sortWithinPartitions("page", "pos")
+    return dealt.select("page", "v").mapInArrow(run, schema)
 
 
 def encode(column: DataFrame, kernel, page: int = PAGE) -> DataFrame:
@@ -137,7 +157,8 @@ def morph(pages: DataFrame, source, target, page: int = PAGE) -> DataFrame:
 
 
 def read_at(pages: DataFrame, positions: DataFrame, kernel, page: int = PAGE) -> DataFrame:
-    """(pos, v) at given positions: only pages that hold some are decoded."""
+    """(pos, v) at given positions: only pages that hold some are touched, and formats whose values have a
+    known place (``at``) are read there, without decoding the page."""
     wanted = positions.groupBy(block_of(page).alias("page")).agg(F.collect_list("pos").alias("at"))
 
     def run(batches):
@@ -145,7 +166,7 @@ def read_at(pages: DataFrame, positions: DataFrame, kernel, page: int = PAGE) ->
             for p, n, data, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 at = np.array(at, dtype=np.int64)
                 at = at[at < p * page + n]
-                values = kernel.decode(data, n)[at - p * page]
+                values = kernel.at(data, n, at - p * page) if hasattr(kernel, "at") else kernel.decode(data, n)[at - p * page]
                 yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(values.astype(np.uint64).view(np.int64))], ["pos", "v"])
 
     return pages.join(wanted, "page").select("page", "n", "data", "at").mapInArrow(run, "pos long, v long")
@@ -168,8 +189,8 @@ def process_pages(pages: DataFrame, kernel, step: Callable[[object, np.ndarray],
 def select_packed(pages: DataFrame, value: int, page: int = PAGE) -> DataFrame:
     """(pos) where a statically packed column equals ``value``, told from the packed pages.
 
-    A page whose width is too small for the value is skipped by its first byte. In the others the pattern
-    of the value is compared bit plane by bit plane, so no value is put together.
+    A page whose width is too small for the value is skipped by its first byte. In the others the bits of
+    all values are compared with those of the value, so no value is put together.
     """
     width = max(1, value.bit_length())
 
@@ -194,4 +215,19 @@ def rle_select(runs: DataFrame, condition: Column) -> DataFrame:
 
 def rle_sum(runs: DataFrame) -> DataFrame:
     """One row (v): the sum of a run-length column, one product per run."""
-    return runs.agg(F.coalesce(F.sum(F.col("v") * F.col("length")), F.lit(0)).cast("long").alias("v"))
+    return runs.agg(U.to_bits(U.sum_wrapped(U.mul(U.from_bits(F.col("v")), F.col("length")))).alias("v"))
+
+
+def pack_positions(positions: DataFrame, kernel=NAMES["delta"], page: int = PAGE) -> DataFrame:
+    """(page, n, data) of a position list in ascending order, compressed."""
+    return encode(numbered(positions.select(F.col("pos").alias("v")), "v"), kernel, page)
+
+
+def unpack_positions(pages: DataFrame, kernel=NAMES["delta"], page: int = PAGE) -> DataFrame:
+    """(pos) of a packed position list, page by page: what any operator takes."""
+    return decode(pages, kernel, page).select(F.col("v").alias("pos"))
+
+
+def project_packed(data: DataFrame, positions: DataFrame, kernel=NAMES["delta"], page: int = PAGE) -> DataFrame:
+    """(pos, v): the values at the positions of a packed list, in its order."""
+    return project(data, decode(positions, kernel, page).select(F.col("pos").alias("n"), F.col("v").alias("pos")), order="n")

@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from . import kernels as K
 from .codecs import CODES, PAGE, _pages, decode
 
-#: A selector: (page number, values) -> format code.
-Selector = Callable[[int, np.ndarray], int]
+#: A selector: (page number, values) -> format code, with the encoded page if it was made on the way.
+Selector = Callable[[int, np.ndarray], int | tuple[int, bytes | None]]
 
 
 def kernel_of(code: int):
@@ -29,41 +29,44 @@ def random_choice(seed: int) -> Selector:
     return lambda page, values: codes[int(np.random.default_rng([seed, page]).integers(len(codes)))]
 
 
-def sizes_of(values: np.ndarray) -> dict[int, int]:
-    """Bytes in each format; a static width by its formula, the others by encoding."""
-    width = K.width_of(values)
-    sizes = {code: len(kernel.encode(values)) for code, kernel in CODES.items()}
-    return sizes | ({width: width * len(values) // 8} if width < 64 else {})
-
-
 def exhaustive_choice(best: bool = True) -> Selector:
-    """The format of least size (or of greatest). The start is the static width if the least is wanted and
-    fewer than 64 bits do, else no compression; another format must be
-    strictly smaller, or at least as large."""
+    """The format of least size (or of greatest), found by encoding the page in each.
+
+    The page's static width counts with the bytes its formula gives. It is where the search for the least
+    starts if fewer than 64 bits do, the uncompressed format where not and for the greatest; from there a
+    format must be strictly smaller, or at least as large, in the order of the codes.
+    """
 
-    def choose(page: int, values: np.ndarray) -> int:
-        sizes = sizes_of(values)
+    def choose(page: int, values: np.ndarray) -> tuple[int, bytes | None]:
         width = K.width_of(values)
-        code = width if best and width < 64 else 0
+        code, data, size = 0, None, 8 * len(values)
+        if best and width < 64:
+            code, size = width, width * len(values) // 8
         for other in sorted(c for c in CODES if c):
-            if sizes[other] < sizes[code] if best else sizes[other] >= sizes[code]:
-                code = other
-        return code
+            made = CODES[other].encode(values)
+            if len(made) < size if best else len(made) >= size:
+                code, data, size = other, made, len(made)
+        return code, data
 
     return choose
 
 
+def _chosen(selector: Selector, page: int, values: np.ndarray) -> tuple[int, bytes | None]:
+    found = selector(page, values)
+    return found if isinstance(found, tuple) else (found, None)
+
+
 def choices(column: DataFrame, selector: Selector, page: int = PAGE) -> DataFrame:
     """(page, n, code)."""
-    return _pages(column, page, "page long, n long, code long", lambda p, v: (p, len(v), selector(p, v)))
+    return _pages(column, page, "page long, n long, code long", lambda p, v: (p, len(v), _chosen(selector, p, v)[0]))
 
 
 def encode_each(column: DataFrame, selector: Selector, page: int = PAGE) -> DataFrame:
-    """(page, n, code, data): every page in the format that the selector chooses for it."""
+    """(page, n, code, data): every page in the format that the selector chooses for it, encoded once."""
 
     def work(p: int, v: np.ndarray) -> tuple:
-        code = selector(p, v)
-        return p, len(v), code, kernel_of(code).encode(v)
+        code, data = _chosen(selector, p, v)
+        return p, len(v), code, kernel_of(code).encode(v) if data is None else data
 
     return _pages(column, page, "page long, n long, code long, data binary", work)
 

@@ -6,19 +6,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.columns import numbered
+
+
+#: Groups that one task numbers.
+MOST_ONCE = 1_000_000
+
 
 def extents_of(keys: DataFrame, names: list[str], pos: str = "pos", dense: bool = True) -> DataFrame:
     """(names..., rep, gid): one row per group.
 
-    Rows are aggregated first; ``dense`` numbers the groups in one ordered pass over them, or, where
-    there are very many, over ranges of them (``dense="ranges"``).
+    Rows are aggregated first. Up to ``MOST_ONCE`` groups are numbered in one ordered pass over them, more
+    over ranges of them (``dense="ranges"``: always), so that no task sees very many.
     """
     groups = keys.groupBy(*names).agg(F.min(pos).alias("rep"))
-    if dense == "ranges":
-        from ..sources.columns import numbered
-
-        return numbered(groups, "rep").withColumnRenamed("pos", "gid")
-    return groups.withColumn("gid", (F.row_number().over(W.orderBy("rep")) - 1).cast("long"))
+    if dense != "ranges" and groups.count() <= MOST_ONCE:
+        return groups.withColumn("gid", (F.row_number().over(W.orderBy("rep")) - 1).cast("long"))
+    return numbered(groups, "rep").withColumnRenamed("pos", "gid")
 
 
 def group(column: DataFrame, value: str = "v", pos: str = "pos", dense: bool | str = True) -> tuple[DataFrame, DataFrame]:

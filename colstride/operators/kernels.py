@@ -40,11 +40,20 @@ def from_lanes(values: np.ndarray, lanes: int) -> np.ndarray:
     return np.concatenate([values[:whole].reshape(lanes, -1).T.ravel(), values[whole:]])
 
 
+def place_in_lanes(where: np.ndarray, n: int, lanes: int) -> np.ndarray:
+    """Where ``to_lanes`` puts the values at some places of n."""
+    rows = n // lanes
+    return np.where(where < rows * lanes, where % lanes * rows + where // lanes, where)
+
+
 @dataclass(frozen=True)
 class Uncompressed:
     def encode(self, values: np.ndarray) -> bytes:
         return values.astype("<u8").tobytes()
 
+    def at(self, data: bytes, n: int, where: np.ndarray) -> np.ndarray:
+        return np.frombuffer(data, dtype="<u8", count=n)[where].astype(U)
+
     def decode(self, data: bytes, n: int) -> np.ndarray:
         return np.frombuffer(data, dtype="<u8", count=n).astype(U)
 
@@ -65,6 +74,17 @@ class StaticVbp:
     def decode(self, data: bytes, n: int) -> np.ndarray:
         return from_lanes(unpack_bits(data[1:], data[0], n), self.lanes)
 
+    def at(self, data: bytes, n: int, where: np.ndarray) -> np.ndarray:
+        """The values at some places, read where they lie."""
+        width = data[0]
+        raw = np.frombuffer(data + b"\0" * 16, dtype=np.uint8)
+        eight = np.ndarray((len(raw) - 7,), dtype="<u8", buffer=raw, strides=(1,))
+        bit = place_in_lanes(where, n, self.lanes) * width + 8
+        byte, shift = bit >> 3, (bit & 7).astype(U)
+        # A value of over 57 bits may reach into a ninth byte.
+        high = np.where(shift > 0, raw[byte + 8].astype(U) << (U(63) - shift) << U(1), U(0))
+        return (eight[byte] >> shift | high) & U((1 << width) - 1)
+
 
 @dataclass(frozen=True)
 class PaddedVbp:
@@ -90,6 +110,12 @@ class PaddedVbp:
         values = (words[:, None] >> (np.arange(per, dtype=U) * U(width))[None, :]) & mask
         return from_lanes(values.ravel()[:n], self.lanes)
 
+    def at(self, data: bytes, n: int, where: np.ndarray) -> np.ndarray:
+        width = data[0]
+        place, per = place_in_lanes(where, n, self.lanes), 64 // width
+        words = np.frombuffer(data, dtype="<u8", offset=1).astype(U)
+        return words[place // per] >> (place % per * width).astype(U) & U((1 << width) - 1)
+
 
 @dataclass(frozen=True)
 class DynamicVbp:
@@ -120,24 +146,54 @@ class NullSuppression:
     k: int = 2
 
     def encode(self, values: np.ndarray) -> bytes:
-        out = bytearray()
-        for at in range(0, len(values), self.k):
-            group = [int(v) for v in values[at : at + self.k]]
-            sizes = [max(1, -(-v.bit_length() // 8)) for v in group]
-            out.append(sum((8 - s) << (3 * i) for i, s in enumerate(sizes)))
-            for v, s in zip(group, sizes, strict=True):
-                out += v.to_bytes(s, "little")
-        return bytes(out)
+        sizes = -(-bit_lengths(values) // 8)
+        group = np.arange(len(values)) // self.k
+        heads = np.zeros(-(-len(values) // self.k), dtype=np.int64)
+        np.add.at(heads, group, (8 - sizes) << 3 * (np.arange(len(values)) % self.k))
+        # A value lies behind those before it and the descriptors up to its own.
+        start = np.cumsum(sizes) - sizes + group + 1
+        out = np.zeros(int(sizes.sum()) + len(heads), dtype=np.uint8)
+        out[start[:: self.k] - 1] = heads
+        k = np.arange(8)
+        used = k[None, :] < sizes[:, None]
+        out[(start[:, None] + k[None, :])[used]] = values.astype("<u8").view(np.uint8).reshape(-1, 8)[used]
+        return out.tobytes()
 
     def decode(self, data: bytes, n: int) -> np.ndarray:
-        out, at = [], 0
-        while len(out) < n:
-            descriptor, at = data[at], at + 1
-            for i in range(min(self.k, n - len(out))):
-                size = 8 - (descriptor >> (3 * i) & 7)
-                out.append(int.from_bytes(data[at : at + size], "little"))
-                at += size
-        return np.array(out, dtype=U)
+        raw = np.frombuffer(data, dtype=np.uint8)
+        sizes = 8 - (raw[:, None].astype(np.int64) >> 3 * np.arange(self.k)[None, :] & 7)
+        # Where the next group would begin if a descriptor stood at each place.
+        heads = chain(np.arange(len(raw)) + 1 + sizes.sum(1), -(-n // self.k))
+        own = sizes[heads]
+        start = (heads[:, None] + 1 + np.cumsum(own, axis=1) - own).ravel()[:n]
+        own = own.ravel()[:n]
+        k = np.arange(8)
+        padded = np.concatenate([raw, np.zeros(8, dtype=np.uint8)])
+        parts = np.where(k[None, :] < own[:, None], padded[np.minimum(start[:, None] + k[None, :], len(padded) - 1)], 0).astype(np.uint8)
+        return np.ascontiguousarray(parts).view("<u8").ravel().astype(U)
+
+
+def bit_lengths(values: np.ndarray) -> np.ndarray:
+    """Bits that each value needs; 0 needs 1."""
+    rest, out = values.astype(U), np.ones(len(values), dtype=np.int64)
+    for k in (32, 16, 8, 4, 2, 1):
+        high = rest >> U(k) > 0
+        out += k * high
+        rest = np.where(high, rest >> U(k), rest)
+    return out
+
+
+def chain(after: np.ndarray, n: int) -> np.ndarray:
+    """The first n places of the walk that begins at 0 and goes from each place to ``after`` it; in as many
+    rounds as n has bits."""
+    if not n:
+        return np.zeros(0, dtype=np.int64)
+    jump = np.append(np.minimum(after, len(after)), len(after))
+    places = np.zeros(1, dtype=np.int64)
+    while len(places) < n:
+        places = np.concatenate([places, jump[places]])
+        jump = jump[jump]
+    return places[:n]
 
 
 #: Groups in a block of the group-simple format, by selector: fixed values of the format.
@@ -151,45 +207,42 @@ class GroupSimple:
 
     lanes: int = 1
 
-    def plan(self, values: np.ndarray) -> tuple[list[int], np.ndarray]:
-        """(selectors, values padded to whole groups)."""
+    def plan(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(selectors, first group of each block, values padded to whole groups)."""
         padded = np.zeros(-(-len(values) // self.lanes) * self.lanes, dtype=U)
         padded[: len(values)] = values
-        widths = np.array([width_of(g) for g in padded.reshape(-1, self.lanes)])
-        at, selectors = 0, []
-        while at < len(widths):
-            for s, n in enumerate(GROUPS):
-                # Fewer groups than the block holds may close the page.
-                if widths[at : at + n].max() <= 64 // n:
-                    selectors.append(s)
-                    at += n
-                    break
-        return selectors, padded
+        widths = bit_lengths(padded.reshape(-1, self.lanes).max(1, initial=0))
+        n = len(widths)
+        fit = np.full(n, len(GROUPS) - 1)
+        for s in reversed(range(len(GROUPS))):
+            # The next group that is too wide; fewer groups than the block holds may close the page.
+            wide = np.where(widths > 64 // GROUPS[s], np.arange(n), n)
+            nearest = np.minimum.accumulate(wide[::-1])[::-1] if n else wide
+            fit[nearest >= np.minimum(np.arange(n) + GROUPS[s], n)] = s
+        starts = chain(np.arange(n) + np.array(GROUPS)[fit], n)
+        starts = starts[starts < n]
+        return fit[starts], starts, padded
 
     def encode(self, values: np.ndarray) -> bytes:
-        selectors, padded = self.plan(values)
-        rows, words, at = padded.reshape(-1, self.lanes), [], 0
-        for s in selectors:
-            n = GROUPS[s]
-            group = rows[at : at + n]
-            shifts = np.arange(len(group), dtype=U) * U(64 // n)
-            words.append(np.bitwise_or.reduce(group << shifts[:, None], axis=0))
-            at += n
-        head = [a | b << 4 for a, b in zip(selectors[0::2], [*selectors[1::2], 0])]
-        body = np.concatenate(words).astype("<u8").tobytes() if words else b""
-        return len(selectors).to_bytes(8, "little") + bytes(head) + body
+        selectors, starts, padded = self.plan(values)
+        sizes = np.array(GROUPS)[selectors]
+        slot = np.arange(len(padded) // self.lanes) - np.repeat(starts, np.diff(np.append(starts, len(padded) // self.lanes)))
+        bits = np.repeat(64 // sizes, np.diff(np.append(starts, len(padded) // self.lanes)))
+        shifted = padded.reshape(-1, self.lanes) << (slot * bits).astype(U)[:, None]
+        body = np.bitwise_or.reduceat(shifted, starts, axis=0).astype("<u8").tobytes() if len(starts) else b""
+        pairs = np.append(selectors, np.zeros(len(selectors) % 2, dtype=np.int64)).reshape(-1, 2)
+        return len(selectors).to_bytes(8, "little") + (pairs[:, 0] | pairs[:, 1] << 4).astype(np.uint8).tobytes() + body
 
     def decode(self, data: bytes, n: int) -> np.ndarray:
         count = int.from_bytes(data[:8], "little")
-        packed = data[8 : 8 + -(-count // 2)]
-        selectors = [packed[i // 2] >> (4 * (i % 2)) & 15 for i in range(count)]
+        packed = np.frombuffer(data, dtype=np.uint8, count=-(-count // 2), offset=8)
+        selectors = np.stack([packed & 15, packed >> 4], axis=1).ravel()[:count]
         words = np.frombuffer(data, dtype="<u8", offset=8 + len(packed)).astype(U).reshape(-1, self.lanes)
-        out = []
-        for s, word in zip(selectors, words, strict=True):
-            size = GROUPS[s]
-            mask = U((1 << (64 // size)) - 1)
-            out.append((word[None, :] >> (np.arange(size, dtype=U) * U(64 // size))[:, None]) & mask)
-        return np.concatenate(out).ravel()[:n] if out else np.zeros(0, dtype=U)
+        sizes = np.array(GROUPS)[selectors]
+        bits = np.repeat(64 // sizes, sizes)
+        slot = np.arange(len(bits)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        mask = U((1 << 64) - 1) >> (64 - bits).astype(U)
+        return (np.repeat(words, sizes, axis=0) >> (slot * bits).astype(U)[:, None] & mask[:, None]).ravel()[:n]
 
 
 @dataclass(frozen=True)

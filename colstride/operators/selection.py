@@ -8,24 +8,36 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.primitives import COMPARE
+from ..functions.primitives import COMPARE, PLAIN, compare_bound, is_pattern
 
 Compare = str | Callable[[Column, Column], Column]
 
 
-def condition(op: Compare, value: Column, bound: int | Column) -> Column:
-    """``op`` is a name of ``COMPARE`` or any function of two columns."""
-    return (COMPARE[op] if isinstance(op, str) else op)(value, bound if isinstance(bound, Column) else F.lit(bound))
+def condition(op: Compare, value: Column, bound: int | Column, patterns: bool = True) -> Column:
+    """``op`` is a name of ``COMPARE`` or any function of two columns.
 
+    Whole numbers are unsigned: with ``patterns``, named comparisons take longs as 64-bit patterns, so that
+    those from 2 ** 63 on are the largest. Other values compare as they are.
+    """
+    if not isinstance(op, str):
+        return op(value, bound if isinstance(bound, Column) else F.lit(bound))
+    if not patterns:
+        return PLAIN[op](value, bound if isinstance(bound, Column) else F.lit(bound))
+    return COMPARE[op](value, bound) if isinstance(bound, Column) else compare_bound(op, value, bound)
 
-def select(column: DataFrame, op: Compare, bound: int, value: str = "v", pos: str = "pos") -> DataFrame:
+
+def _condition(column: DataFrame, op: Compare, value: str, bound: int | Column) -> Column:
+    return condition(op, F.col(value), bound, is_pattern(column.schema[value].dataType))
+
+
+def select(column: DataFrame, op: Compare, bound: int | Column, value: str = "v", pos: str = "pos") -> DataFrame:
     """Positions with ``op(value, bound)``, as a frame (pos); ascending once ordered by ``pos``."""
-    return column.where(condition(op, F.col(value), bound)).select(F.col(pos).alias("pos"))
+    return column.where(_condition(column, op, value, bound)).select(F.col(pos).alias("pos"))
 
 
 def between(column: DataFrame, low: int, high: int, low_op: Compare = "greaterequal", high_op: Compare = "less", value: str = "v", pos: str = "pos") -> DataFrame:
     """Positions with both ``low_op(value, low)`` and ``high_op(value, high)``."""
-    both = condition(low_op, F.col(value), low) & condition(high_op, F.col(value), high)
+    both = _condition(column, low_op, value, low) & _condition(column, high_op, value, high)
     return column.where(both).select(F.col(pos).alias("pos"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import uint64 as U
+from ..functions.primitives import COMPARE, PLAIN, is_pattern
 
 
 @dataclass(frozen=True)
@@ -44,8 +45,10 @@ def _descents(column: DataFrame, value: str, pos: str, bad: Column) -> int:
 
 
 def is_sorted(column: DataFrame, value: str = "v", pos: str = "pos", descending: bool = False) -> bool:
-    """Whether values never fall (``descending``: never rise) with the position; ties are fine."""
-    return _descents(column, value, pos, F.col("x") > F.col("b") if descending else F.col("x") < F.col("b")) == 0
+    """Whether values never fall (``descending``: never rise) with the position; ties are fine. Longs are patterns."""
+    x, b = F.col("x"), F.col("b")
+    less = COMPARE["less"] if is_pattern(column.schema[value].dataType) else PLAIN["less"]
+    return _descents(column, value, pos, less(b, x) if descending else less(x, b)) == 0
 
 
 def is_unique(column: DataFrame, value: str = "v") -> bool:
@@ -59,6 +62,10 @@ def is_unique_estimate(column: DataFrame, value: str = "v", pos: str = "pos", fi
 
 
 def data_properties(column: DataFrame, value: str = "v", pos: str = "pos") -> DataProperties:
-    row = column.agg(F.count("*").alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi"), F.count_distinct(value).alias("d")).first()
+    # Longs are patterns: the least and greatest unsigned number, as numbers.
+    flip = U.ordered if is_pattern(column.schema[value].dataType) else lambda c: c
+    exact = (lambda c: U.from_bits(U.ordered(c))) if is_pattern(column.schema[value].dataType) else lambda c: c
+    row = column.agg(F.count("*").alias("n"), exact(F.min(flip(F.col(value)))).alias("lo"), exact(F.max(flip(F.col(value)))).alias("hi"), F.count_distinct(value).alias("d")).first()
     widths = {r.width: r.n for r in histogram(column, value).collect()}  # at most 64 rows
-    return DataProperties(row.n, row.lo, row.hi, widths, is_sorted(column, value, pos), row.d, row.n == row.d)
+    least, greatest = (None if x is None else int(x) for x in (row.lo, row.hi))
+    return DataProperties(row.n, least, greatest, widths, is_sorted(column, value, pos), row.d, row.n == row.d)

@@ -11,6 +11,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.stats import data_properties
+
 
 def fingerprint(df: DataFrame) -> tuple:
     """Row count and an order-free sum of row hashes; columns by name. One aggregate, nothing collected."""
@@ -42,6 +44,14 @@ class Monitor:
     def add(self, name: str, value: bool | int | float) -> None:
         self.rows.append({"name": name, "kind": type(value).__name__, "value": value})
 
+    def column(self, name: str, column: DataFrame) -> None:
+        """The properties of a column's data, one row each."""
+        found = data_properties(column)
+        for key in ("count", "least", "greatest", "sorted_ascending", "distinct", "unique"):
+            self.add(f"{name}.{key}", getattr(found, key))
+        for width, n in sorted(found.histogram.items()):
+            self.add(f"{name}.bits_{width}", n)
+
     def text(self) -> str:
         return "\n".join(f"{r['name']}: {r['value']} ({r['kind']})" for r in self.rows)
 

@@ -15,9 +15,10 @@ from ..operators import agg_sum, project, select
 
 def select_sum(table: DataFrame, op: str, bound: int, key: str, value: str) -> DataFrame:
     """SUM(value) WHERE op(key, bound), fused: a scan with a pushed filter and a partial sum."""
+    from ..functions.primitives import is_pattern
     from ..operators.selection import condition
 
-    return table.where(condition(op, F.col(key), bound)).agg(F.coalesce(F.sum(value), F.lit(0)).cast("long").alias("v"))
+    return agg_sum(table.where(condition(op, F.col(key), bound, is_pattern(table.schema[key].dataType))), value)
 
 
 def select_sum_positional(table: DataFrame, op: str, bound: int, key: str, value: str) -> DataFrame:
@@ -33,8 +34,8 @@ def grouped_join_having(
 
     Replaces chains of group refinements and of projections through group representatives.
     """
-    from ..functions.primitives import COMPARE
+    from ..operators.selection import condition as compare
 
     joined = fact.join(dimension.where(condition), on)
     sums = joined.groupBy(*keys).agg(F.sum(value).cast("long").alias("total"))
-    return sums.where(COMPARE[having](F.col("total"), F.lit(least)))
+    return sums.where(compare(having, F.col("total"), least))

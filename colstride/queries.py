@@ -19,7 +19,7 @@ from .operators.kernels import GroupSimple, NullSuppression
 from .plans import harness
 from .plans import queries as plans
 from .sources import generators
-from .sources.columns import from_parquet
+from .sources.columns import from_parquet, from_values
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -164,7 +164,7 @@ def agg_sum_empty(spark, sf_dir):
 @query("agg_sum_wrapping", "SELECT CAST(sum(CAST(o_orderkey AS HUGEINT) * 4611686018427387904) % 18446744073709551616 AS VARCHAR) AS v FROM orders")
 def agg_sum_wrapping(spark, sf_dir):
     big = orders(spark, sf_dir, "o_orderkey").select("pos", (F.col("v").cast("decimal(12,0)") * F.lit("4611686018427387904").cast("decimal(19,0)")).alias("w"))
-    return O.agg_sum(big.select("pos", U.wrap(F.col("w")).alias("v")), wrapping=True).select(F.col("v").cast("string").alias("v"))
+    return O.agg_sum(big.select("pos", U.wrap(F.col("w")).alias("v"))).select(F.col("v").cast("string").alias("v"))
 
 
 _GROUPS = "SELECT o_custkey, min(o_orderkey) AS rep, row_number() OVER (ORDER BY min(o_orderkey)) - 1 AS gid FROM orders GROUP BY o_custkey"
@@ -246,30 +246,39 @@ def _wrapped(sql: str) -> str:
     return f"SELECT o_orderkey AS pos, CAST((({sql}) % 18446744073709551616 + 18446744073709551616) % 18446744073709551616 AS VARCHAR) AS v FROM orders"
 
 
+def pair(spark: SparkSession, sf_dir: str, a: str, b: str) -> DataFrame:
+    """(pos, a, b) of two whole-number expressions over orders."""
+    whole = lambda x, name: F.expr(f"CAST({x} AS BIGINT)").alias(name)
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("pos"), whole(a, "a"), whole(b, "b"))
+
+
 _CALC = {"add": "+", "sub": "-", "mul": "*"}
 for _name, _sign in _CALC.items():
 
     @query(f"calc_{_name}", _wrapped(f"CAST(o_custkey AS HUGEINT) * 1000003 {_sign} CAST(o_orderkey AS HUGEINT) * 1000000007"))
     def _calc(spark, sf_dir, op=_name):
-        a, b = orders(spark, sf_dir, "o_custkey * 1000003"), orders(spark, sf_dir, "o_orderkey * 1000000007")
-        return O.calc_binary(a, b, op, check=False).select("pos", F.col("v").cast("string").alias("v"))
+        return O.calc(pair(spark, sf_dir, "o_custkey * 1000003", "o_orderkey * 1000000007"), op, "a", "b").select("pos", F.col("v").cast("string").alias("v"))
+
+
+@query("calc_add_positional", _wrapped("CAST(o_custkey AS HUGEINT) + CAST(o_orderkey AS HUGEINT)"))
+def calc_add_positional(spark, sf_dir):
+    """Two columns of their own, joined by position."""
+    return O.calc_binary(orders(spark, sf_dir, "o_custkey"), orders(spark, sf_dir, "o_orderkey"), "add").select("pos", F.col("v").cast("string").alias("v"))
 
 
 @query("calc_div", "SELECT o_orderkey AS pos, CAST(o_orderkey * 31 // (o_custkey + 1) AS VARCHAR) AS v FROM orders")
 def calc_div(spark, sf_dir):
-    result = O.calc_binary(orders(spark, sf_dir, "o_orderkey * 31"), orders(spark, sf_dir, "o_custkey + 1"), "div", check=False)
-    return result.select("pos", F.col("v").cast("string").alias("v"))
+    return O.calc(pair(spark, sf_dir, "o_orderkey * 31", "o_custkey + 1"), "div", "a", "b").select("pos", F.col("v").cast("string").alias("v"))
 
 
 @query("calc_mod", "SELECT o_orderkey AS pos, CAST(o_orderkey * 31 % (o_custkey + 1) AS VARCHAR) AS v FROM orders")
 def calc_mod(spark, sf_dir):
-    result = O.calc_binary(orders(spark, sf_dir, "o_orderkey * 31"), orders(spark, sf_dir, "o_custkey + 1"), "mod", check=False)
-    return result.select("pos", F.col("v").cast("string").alias("v"))
+    return O.calc(pair(spark, sf_dir, "o_orderkey * 31", "o_custkey + 1"), "mod", "a", "b").select("pos", F.col("v").cast("string").alias("v"))
 
 
 @query("calc_min", "SELECT o_orderkey AS pos, least(o_orderkey, o_custkey) AS v FROM orders")
 def calc_min(spark, sf_dir):
-    return O.calc_binary(orders(spark, sf_dir, "o_orderkey"), orders(spark, sf_dir, "o_custkey"), "min", check=False)
+    return O.calc(pair(spark, sf_dir, "o_orderkey", "o_custkey"), "min", "a", "b")
 
 
 @query("calc_inv", "SELECT o_orderkey AS pos, CAST((18446744073709551616 - CAST(o_custkey AS HUGEINT)) % 18446744073709551616 AS VARCHAR) AS v FROM orders")
@@ -291,7 +300,7 @@ for _op, _sign in {"less": "<", "equal": "=", "greaterequal": ">="}.items():
 
     @query(f"compare_{_op}", f"SELECT o_orderkey AS pos, o_orderkey % 1500 {_sign} o_custkey AS v FROM orders")
     def _compare(spark, sf_dir, op=_op):
-        return O.compare_binary(orders(spark, sf_dir, "o_orderkey % 1500"), orders(spark, sf_dir, "o_custkey"), op, check=False)
+        return O.compare(pair(spark, sf_dir, "o_orderkey % 1500", "o_custkey"), op, "a", "b")
 
 
 @query(
@@ -541,6 +550,134 @@ def sum_runs(spark, sf_dir):
     return codecs.rle_sum(codecs.rle_encode(orders(spark, sf_dir, "o_custkey % 2")))
 
 
+#: Numbers below 1500 and, at two positions of three, numbers just below 2 ** 64, as patterns and for SQL.
+_PATTERN = "CASE WHEN o_orderkey % 3 = 0 THEN o_custkey ELSE -1 - o_custkey END"
+_NUMBER = "(CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_custkey AS HUGEINT) ELSE 18446744073709551615 - CAST(o_custkey AS HUGEINT) END)"
+_TOP = 1 << 64
+
+
+def _unsigned(spark, sf_dir):
+    return orders(spark, sf_dir, _PATTERN)
+
+
+def _as_number(df: DataFrame, *keep: str) -> DataFrame:
+    return df.select(*keep, U.from_bits(F.col("v")).cast("string").alias("v"))
+
+
+for _op, _sign, _bound in (("less", "<", 700), ("lessequal", "<=", _TOP - 700), ("equal", "=", _TOP - 501), ("not_equal", "<>", _TOP - 501), ("greaterequal", ">=", 700), ("greater", ">", _TOP - 700)):
+
+    @query(f"select_unsigned_{_op}", f"SELECT o_orderkey AS pos FROM orders WHERE {_NUMBER} {_sign} {_bound}")
+    def _select_unsigned(spark, sf_dir, op=_op, bound=_bound):
+        return O.select(_unsigned(spark, sf_dir), op, bound)
+
+
+@query("between_unsigned", f"SELECT o_orderkey AS pos FROM orders WHERE {_NUMBER} >= 1000 AND {_NUMBER} < {_TOP - 1000}")
+def between_unsigned(spark, sf_dir):
+    return O.between(_unsigned(spark, sf_dir), 1000, _TOP - 1000)
+
+
+@query("min_unsigned", f"SELECT o_orderkey AS pos, CAST(least({_NUMBER}, CAST(o_orderkey AS HUGEINT)) AS VARCHAR) AS v FROM orders")
+def min_unsigned(spark, sf_dir):
+    return _as_number(O.calc(pair(spark, sf_dir, _PATTERN, "o_orderkey"), "min", "a", "b"), "pos")
+
+
+@query("div_unsigned", f"SELECT o_orderkey AS pos, CAST({_NUMBER} // (o_custkey + 7) AS VARCHAR) AS v FROM orders")
+def div_unsigned(spark, sf_dir):
+    return O.calc(pair(spark, sf_dir, _PATTERN, "o_custkey + 7"), "div", "a", "b").select("pos", F.col("v").cast("string").alias("v"))
+
+
+@query("sum_unsigned", f"SELECT CAST(sum({_NUMBER}) % {_TOP} AS VARCHAR) AS v FROM orders")
+def sum_unsigned(spark, sf_dir):
+    return _as_number(O.agg_sum(_unsigned(spark, sf_dir)))
+
+
+@query("sum_grouped_unsigned", f"SELECT o_custkey AS gid, CAST(sum({_NUMBER}) % {_TOP} AS VARCHAR) AS v FROM orders GROUP BY 1")
+def sum_grouped_unsigned(spark, sf_dir):
+    groups = orders(spark, sf_dir, "o_custkey")
+    n = groups.agg(F.max("v") + 1).first()[0]
+    summed = O.agg_sum_grouped(groups.withColumnRenamed("v", "gid"), _unsigned(spark, sf_dir), n, check=False)
+    return _as_number(summed.join(groups.select(F.col("v").alias("gid")).distinct(), "gid"), "gid")
+
+
+@query("properties_unsigned", f"""SELECT CAST(min({_NUMBER}) AS VARCHAR) AS least, CAST(max({_NUMBER}) AS VARCHAR) AS greatest,
+       (SELECT count(*) = 0 FROM (SELECT {_NUMBER} < lag({_NUMBER}) OVER (ORDER BY o_orderkey) AS bad FROM orders) WHERE bad) AS sorted, true AS halves_sorted FROM orders""")
+def properties_unsigned(spark, sf_dir):
+    found = stats.data_properties(_unsigned(spark, sf_dir))
+    # Signed order would put the upper half first.
+    halves = stats.is_sorted(orders(spark, sf_dir, "CASE WHEN o_orderkey < 5000 THEN o_orderkey ELSE -1 - (1000000000 - o_orderkey) END"))
+    return spark.createDataFrame([(str(found.least), str(found.greatest), found.sorted_ascending, halves)], "least string, greatest string, sorted boolean, halves_sorted boolean")
+
+
+@query("project_packed_positions", "SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS pos, o_custkey AS v FROM orders WHERE o_totalprice > 300000")
+def project_packed_positions(spark, sf_dir):
+    """A position list that is kept packed between the selection and the projection."""
+    positions = O.select(orders(spark, sf_dir, "floor(o_totalprice * 100)"), "greater", 30000000)
+    return codecs.project_packed(orders(spark, sf_dir, "o_custkey"), codecs.pack_positions(positions))
+
+
+for _name in ("static_vbp", "vbp_padding"):
+
+    @query(f"random_access_{_name}", "SELECT o_orderkey AS pos, o_custkey AS v FROM orders WHERE o_totalprice > 400000")
+    def _random_access(spark, sf_dir, kernel=codecs.NAMES[_name]):
+        """Values read where they lie in a packed page."""
+        positions = O.select(orders(spark, sf_dir, "floor(o_totalprice * 100)"), "greater", 40000000)
+        return codecs.read_at(codecs.encode(orders(spark, sf_dir, "o_custkey"), kernel), positions, kernel)
+
+
+@query("encoded_sizes", """SELECT o_orderkey // 2048 AS page, CAST(count(*) * 8 AS BIGINT) AS plain, CAST(1 + ceil(count(*) * length(bin(bit_or(o_custkey))) / 8.0) AS BIGINT) AS packed,
+       CAST(sum((length(bin(o_custkey)) + 7) // 8) + ceil(count(*) / 2.0) AS BIGINT) AS k_wise FROM orders GROUP BY 1""")
+def encoded_sizes(spark, sf_dir):
+    """Bytes of real pages in three formats, against the formulas of their sizes."""
+    column = orders(spark, sf_dir, "o_custkey")
+    sizes = [codecs.encode(column, codecs.NAMES[f]).select("page", F.lit(name).alias("name"), F.octet_length("data").cast("long").alias("bytes"))
+             for f, name in (("uncompressed", "plain"), ("static_vbp", "packed"), ("k_wise_ns", "k_wise"))]
+    one = lambda name: F.max(F.when(F.col("name") == name, F.col("bytes"))).alias(name)
+    return sizes[0].union(sizes[1]).union(sizes[2]).groupBy("page").agg(one("plain"), one("packed"), one("k_wise"))
+
+
+@query("gen_bitwidths_whole_range", "SELECT * FROM (VALUES (CAST(1 AS BIGINT), CAST(500 AS BIGINT)), (63, 1000), (64, 1500)) t(width, n)")
+def gen_bitwidths_whole_range(spark, sf_dir):
+    weights = [0] * 64
+    weights[0], weights[62], weights[63] = 1, 2, 3
+    return stats.histogram(generators.with_bitwidths(spark, 3000, weights, 4))
+
+
+@query("literal_column", "SELECT * FROM (VALUES (CAST(0 AS BIGINT), CAST(22 AS BIGINT)), (1, 44), (2, 11), (3, 22)) t(pos, v)")
+def literal_column(spark, sf_dir):
+    return from_values(spark, [22, 44, 11, 22])
+
+
+@query("equality_check", "SELECT true AS same, true AS other_order, false AS other_value, false AS other_count")
+def equality_check(spark, sf_dir):
+    a = orders(spark, sf_dir, "o_custkey")
+    row = [(harness.equal(a, a), harness.equal(a, a.orderBy(F.desc("v"))), harness.equal(a, orders(spark, sf_dir, "o_custkey + 1")), harness.equal(a, a.union(a)))]
+    return spark.createDataFrame(row, "same boolean, other_order boolean, other_value boolean, other_count boolean")
+
+
+@query("monitored_column", """SELECT 'custkey.count' AS name, CAST(count(*) AS VARCHAR) AS value FROM orders UNION ALL SELECT 'custkey.least', CAST(min(o_custkey) AS VARCHAR) FROM orders
+       UNION ALL SELECT 'custkey.greatest', CAST(max(o_custkey) AS VARCHAR) FROM orders UNION ALL SELECT 'custkey.distinct', CAST(count(DISTINCT o_custkey) AS VARCHAR) FROM orders
+       UNION ALL SELECT 'custkey.bits_' || length(bin(o_custkey)), CAST(count(*) AS VARCHAR) FROM orders GROUP BY length(bin(o_custkey))""")
+def monitored_column(spark, sf_dir):
+    monitor = harness.Monitor()
+    monitor.column("custkey", orders(spark, sf_dir, "o_custkey"))
+    return spark.createDataFrame([(r["name"], str(r["value"])) for r in monitor.rows if r["kind"] == "int"], "name string, value string")
+
+
+@query("register_primitives", """SELECT o_orderkey // 4 AS register, max(o_custkey) FILTER (o_orderkey % 4 = 2) AS third, list(o_custkey ORDER BY (o_orderkey + 3) % 4) AS rotated,
+       coalesce(list(o_custkey ORDER BY o_orderkey) FILTER (o_orderkey % 4 IN (0, 3)), []) AS stored, [7, 7, 7]::BIGINT[] AS ones, [5, 8, 11]::BIGINT[] AS steps FROM orders GROUP BY 1""")
+def register_primitives(spark, sf_dir):
+    rows = orders(spark, sf_dir, "o_custkey").groupBy(F.expr("pos div 4").alias("register")).agg(F.sort_array(F.collect_list(F.struct("pos", "v"))).alias("r"))
+    lanes, long = F.col("r.v"), lambda x: F.lit(x).cast("long")
+    return rows.select("register", P.extract_value(lanes, 2).alias("third"), P.rotate(lanes).alias("rotated"), P.compressstore(lanes, long(0b1001)).alias("stored"),
+                       P.set1(long(7), 3).alias("ones"), P.set_sequence(long(5), long(3), 3).alias("steps"))
+
+
+@query("unique_estimate", "SELECT true AS key_first, (SELECT count(*) = count(DISTINCT o_custkey) FROM orders WHERE o_orderkey < 1000) AS cust_first")
+def unique_estimate(spark, sf_dir):
+    row = [(stats.is_unique_estimate(orders(spark, sf_dir, "o_orderkey")), stats.is_unique_estimate(orders(spark, sf_dir, "o_custkey")))]
+    return spark.createDataFrame(row, "key_first boolean, cust_first boolean")
+
+
 @query("select_bits_unsigned", "SELECT o_orderkey AS pos FROM orders WHERE o_orderkey % 3 = 0 AND o_custkey < 700")
 def select_bits_unsigned(spark, sf_dir):
     """An unsigned comparison of patterns, of which those with the top bit set are large."""

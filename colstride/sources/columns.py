@@ -58,19 +58,24 @@ def numbered(df: DataFrame, *order: str) -> DataFrame:
     return placed.select(*[F.col(f"`{c}`") for c in df.columns], (F.col("_start") + F.col("_inside")).alias("pos"))
 
 
-def store_binary(column: DataFrame, path: str) -> None:
+def store_binary(column: DataFrame, path: str, most: int = 100_000_000) -> None:
     """The raw layout on the driver's file system: count and bytes as unsigned 64-bit numbers, then values.
 
-    One file in row order is the layout's nature; the values stream through the driver in order.
+    One file in row order is the layout's nature, so it is for small columns: more than ``most`` values
+    are refused. Tasks pack the values; the driver takes their blocks in turn and writes them.
     """
+    n = column.count()
+    if n > most:
+        raise ValueError(f"{n} values; one raw file holds {most} at most")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.column(0).to_numpy().astype("<i8").tobytes()], pa.binary())], ["data"])
+
     with open(path, "wb") as f:
-        f.write(struct.pack("<QQ", 0, 0))
-        n = 0
-        for row in column.orderBy("pos").select("v").toLocalIterator(prefetchPartitions=True):
-            f.write(struct.pack("<Q", row.v % (1 << 64)))
-            n += 1
-        f.seek(0)
         f.write(struct.pack("<QQ", n, 8 * n))
+        for row in column.orderBy("pos").select(F.col("v").cast("long")).mapInArrow(pack, "data binary").toLocalIterator(prefetchPartitions=True):
+            f.write(row.data)
 
 
 def load_binary(spark: SparkSession, path: str) -> DataFrame:

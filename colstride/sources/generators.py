@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import uint64 as U
+
 
 def draw(seed: int, k: int = 0) -> Column:
     """A uniform number in [0, 1) for each ``pos``, the same whatever the partitioning."""
@@ -33,8 +35,8 @@ def sorted_unique_extraction(spark: SparkSession, n: int, population: int, seed:
     """n of the numbers below ``population``, drawn without replacement, ascending."""
     if n > population:
         raise ValueError("more values than the population has")
-    drawn = rows(spark, population).withColumn("d", draw(seed)).orderBy("d", "pos").limit(n)
-    return _renumbered(drawn.select(F.col("pos").alias("v")), "v")
+    # The rank of each draw over ranges, so that no task takes all of them.
+    return _renumbered(_shuffled(rows(spark, population), seed).where(F.col("rank") < n).select(F.col("pos").alias("v")), "v")
 
 
 def _renumbered(df: DataFrame, *order: str) -> DataFrame:
@@ -97,21 +99,18 @@ def read_weights(spark: SparkSession, path: str) -> DataFrame:
 
 
 def histogram_counts(n: int, weights: Sequence[int]) -> list[int]:
-    """Values of each width: shares of n, rounded; what rounding leaves is given to (or taken from) the
-    widths in use, in turn, without emptying one."""
-    counts = [int(n * w / sum(weights) + 0.5) for w in weights]
-    if n and not any(counts):  # fewer values than widths: the heaviest one starts
-        counts[max(range(len(weights)), key=weights.__getitem__)] = 1
-    k = 0
-    while (gap := n - sum(counts)) != 0:
-        if counts[k] and (gap > 0 or sum(counts) > n):
-            counts[k] += 1 if gap > 0 else -1
-        k = (k + 1) % len(counts)
+    """Values of each width: the whole part of each share of n, and one more for the largest fractions
+    (the first among equal ones). Widths without weight get none, and those with little may."""
+    total = sum(weights)
+    counts = [n * w // total for w in weights]
+    rest = sorted((k for k, w in enumerate(weights) if w), key=lambda k: -(n * weights[k] % total))
+    for k in rest[: n - sum(counts)]:
+        counts[k] += 1
     return counts
 
 
 def with_bitwidths(spark: SparkSession, n: int, weights: Sequence[int], seed: int, is_sorted: bool = False, exact: bool = True) -> DataFrame:
-    """Values whose bit widths follow 64 weights; uniform within a width. Widths up to 62.
+    """Values whose bit widths follow 64 weights; uniform within a width. Those of 64 bits come as patterns.
 
     ``exact`` (and every sorted column) meets the counts; else widths are drawn with these chances.
     """
@@ -130,10 +129,13 @@ def with_bitwidths(spark: SparkSession, n: int, weights: Sequence[int], seed: in
     for w in range(len(counts), 0, -1):
         width = F.when(place < ends[w - 1], F.lit(w)).otherwise(width)
     base = base.withColumn("w", width)
-    lo = F.when(F.col("w") == 1, F.lit(0).cast("long")).otherwise(F.pow(F.lit(2.0), F.col("w") - 1).cast("long"))
-    span = F.when(F.col("w") == 1, F.lit(2).cast("long")).otherwise(lo)
-    value = lo + F.pmod(F.xxhash64(F.lit(seed), F.lit(4), "pos"), span)
-    return finished(base.withColumn("v", value), is_sorted)
+    # The top bit, and bits of a hash below it; width 1 has both of its values.
+    shift = lambda name, value, by: F.call_function(name, F.lit(value).cast("long"), by.cast("int"))
+    top = F.when(F.col("w") == 1, F.lit(0).cast("long")).otherwise(shift("shiftleft", 1, F.col("w") - 1))
+    below = F.when(F.col("w") == 1, F.lit(1).cast("long")).otherwise(shift("shiftrightunsigned", -1, 65 - F.col("w")))
+    value = top.bitwiseOR(F.xxhash64(F.lit(seed), F.lit(4), "pos").bitwiseAND(below))
+    made = base.withColumn("v", value)
+    return _renumbered(made.select(U.ordered(F.col("v")).alias("o"), "v"), "o") if is_sorted else finished(made, False)
 
 
 def _shuffled(base: DataFrame, seed: int) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from colstride import operators as O
 from colstride.functions import primitives as P
 from colstride.functions import uint64 as U
-from colstride.operators import stats
+from colstride.operators import grouping, stats
 from colstride.operators.calc import bitmap
 from colstride.sources.columns import from_values
 
@@ -48,8 +48,10 @@ def test_joins(spark):
     assert rows(O.hash_semi_join(left, right)) == [(0,), (1,), (2,), (3,), (4,)]
 
 
-@pytest.mark.parametrize("dense", [True, "ranges"])
-def test_group(spark, dense):
+@pytest.mark.parametrize("dense", [True, "ranges", "many"])
+def test_group(spark, dense, monkeypatch):
+    if dense == "many":
+        monkeypatch.setattr(grouping, "MOST_ONCE", 1)
     ids, extents = O.group(from_values(spark, [333, 333, 111, 333, 222, 111]), dense=dense)
     assert [r.gid for r in ids.orderBy("pos").collect()] == [0, 0, 1, 0, 2, 1]
     assert rows(extents.select("gid", "rep")) == [(0, 0), (1, 2), (2, 4)]
@@ -66,6 +68,11 @@ def test_sums(spark):
     assert rows(O.agg_sum(data)) == [(1100,)]
     assert rows(O.agg_sum(data.where("v < 0"))) == [(0,)]
     assert rows(O.agg_sum_grouped(ids, data, 3)) == [(0, 750), (1, 150), (2, 200)]
+    large = from_values(spark, [-1, -1, 5])  # patterns of 2 ** 64 - 1
+    assert rows(O.agg_sum(large)) == [(3,)] and rows(O.agg_sum(from_values(spark, [(1 << 63) - 1, 1]))) == [(-(1 << 63),)]
+    assert rows(O.select(large, "less", 100)) == [(2,)] and rows(O.select(large, "greater", 100)) == [(0,), (1,)]
+    with pytest.raises(ValueError):
+        O.select(large, "less", -1)
     gap = spark.createDataFrame([(0, 0), (1, 2)], "pos long, gid long")
     assert rows(O.agg_sum_grouped(gap, from_values(spark, [5, 7]), 3)) == [(0, 5), (1, 0), (2, 7)]
     with pytest.raises(ValueError):
