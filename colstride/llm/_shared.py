@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,22 +18,46 @@ GAP = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a local one only where it is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Where it is unset, a session on one machine
+    gets a folder of its own; on a cluster there is none that would do."""
     place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not place:
-        place = "file://" + tempfile.mkdtemp(prefix="colstride-")
-        spark.conf.set("spark.checkpoint.dir", place)
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        place = _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="colstride-"))
     return place.rstrip("/")
 
 
+_own: dict[str, str] = {}
+_scratch: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+
+
 def stored(df: DataFrame, label: str = "t") -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: cuts the lineage for good."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if (made := _scratch.get()) is not None:
+        made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Within it ``stored`` tables are noted, and at its end they are removed: for results that are written
+    before it ends."""
+    made: list[str] = []
+    token = _scratch.set(made)
+    try:
+        yield
+    finally:
+        _scratch.reset(token)
+        hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+        for path in made:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(hadoop).delete(place, True)
+
+
 #: A key is hot when it has more than so many rows and more than this fraction of all rows.
 HOT_ROWS, HOT_FRACTION = 10_000, 5_000
 

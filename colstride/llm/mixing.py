@@ -8,8 +8,8 @@ from pyspark.sql import Window as W
 
 from . import _shared as S
 
-#: Hash ranges a source is dealt to, so that one hot source never meets in one task.
-RANGES = 256
+#: Documents of a hash range of a source, so that one hot source never meets in one task.
+RANGE_ROWS = 1_000_000
 #: Seed of the order in which documents give the fractional part of their source.
 SEED = 17
 
@@ -60,11 +60,13 @@ def _plan(docs: DataFrame, doc_id: str, source: str, text: str, max_epochs: floa
     base = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), S.word_count(F.col(f"`{text}`")).alias("size"))
     # The sizes, not the texts, are what all later steps read.
     base = S.stored(base.withColumn("rank_", rank("doc_id", "size", seed)), "mix")
-    base = base.withColumn("range_", F.shiftright("rank_", 52).cast("int"))
+    # Ranges of the 60 bits of a rank, 256 of a source at least: as many as keep them to their size.
+    bits = min(24, max(8, (base.count() // RANGE_ROWS).bit_length()))
+    base = base.withColumn("range_", F.shiftright("rank_", 60 - bits).cast("int"))
     per_range = base.groupBy("source", "range_").agg(F.sum("size").alias("range_size"))
     sizes = per_range.groupBy("source").agg(F.sum("range_size").alias("source_size"))
     targets = water_fill(cyclic_weights(sizes), max_epochs)
-    # At most 256 rows a source; their running sums give every range its start.
+    # One row for each range of a source; their running sums give every range its start.
     starts = per_range.withColumn("start", F.coalesce(F.sum("range_size").over(W.partitionBy("source").orderBy("range_").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     plan = (
         starts.alias("a").join(targets.alias("t"), F.col("a.source").eqNullSafe(F.col("t.source")))
@@ -106,17 +108,20 @@ def apply_mix(docs: DataFrame, seed: int = SEED, max_epochs: float = 3.0, most_b
     plan = _plan(docs, "doc_id", "source", "text", max_epochs, seed)
     last = F.max(F.when(F.col("extra") > 0, F.struct("rank_", "doc_id", "size", "extra"))).alias("_last")
     cuts = S.stored(plan.groupBy(F.col("source").alias("_source")).agg(F.max("whole").cast("int").alias("_whole"), last), "cuts")
+    size, place, source, whole, extra_, last_, cut = (S.fresh(docs, name) for name in ("size", "place", "source", "whole", "extra", "last", "cut"))
+    cuts = cuts.select(F.col("_source").alias(source), F.col("_whole").alias(whole), F.col("_last").alias(last_))
     side = F.broadcast(cuts) if cuts.count() <= most_broadcast else cuts
-    sized = docs.withColumn("_size", S.word_count(F.col("text"))).where("_size > 0")
-    sized = sized.withColumn("_place", F.struct(rank("doc_id", "_size", seed).alias("rank_"), F.col("doc_id"), F.col("_size").alias("size")))
-    joined = sized.join(side, F.col("source").eqNullSafe(F.col("_source")))
-    end = F.struct("_last.rank_", "_last.doc_id", "_last.size")
-    extra = F.when(F.col("_last").isNull(), 0).when(F.col("_place") < end, F.col("_size")).when(F.col("_place") == end, F.col("_last.extra")).otherwise(0)
-    joined = joined.withColumn("_extra", extra.cast("int"))
+    sized = docs.withColumn(size, S.word_count(F.col("text"))).where(F.col(size) > 0)
+    sized = sized.withColumn(place, F.struct(rank("doc_id", size, seed).alias("rank_"), F.col("doc_id"), F.col(size).alias("size")))
+    joined = sized.join(side, F.col("source").eqNullSafe(F.col(source)))
+    last = F.col(last_)
+    end = F.struct(last["rank_"].alias("rank_"), last["doc_id"].alias("doc_id"), last["size"].alias("size"))
+    extra = F.when(last.isNull(), 0).when(F.col(place) < end, F.col(size)).when(F.col(place) == end, last["extra"]).otherwise(0)
+    joined = joined.withColumn(extra_, extra.cast("int"))
     # -1 stands for a whole repetition, a number for that many first words.
-    part = F.when(F.col("_extra") == F.col("_size"), F.array(F.lit(-1))).when(F.col("_extra") > 0, F.array("_extra")).otherwise(F.array().cast("array<int>"))
-    head = F.when(F.col("_cut") < 0, F.col("text")).otherwise(F.array_join(F.slice(S.words(F.col("text")), F.lit(1), F.abs("_cut")), " "))
-    out = joined.withColumn("_cut", F.explode(F.concat(F.array_repeat(F.lit(-1), F.col("_whole")), part))).withColumn("text", head)
+    part = F.when(F.col(extra_) == F.col(size), F.array(F.lit(-1))).when(F.col(extra_) > 0, F.array(extra_)).otherwise(F.array().cast("array<int>"))
+    head = F.when(F.col(cut) < 0, F.col("text")).otherwise(F.array_join(F.slice(S.words(F.col("text")), F.lit(1), F.abs(cut)), " "))
+    out = joined.withColumn(cut, F.explode(F.concat(F.array_repeat(F.lit(-1), F.col(whole)), part))).withColumn("text", head)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_cut") < 0, F.col("n_chars")).otherwise(F.char_length("text")).cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.when(F.col(cut) < 0, F.col("n_chars")).otherwise(F.char_length("text")).cast(docs.schema["n_chars"].dataType))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])

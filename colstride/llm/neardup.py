@@ -378,8 +378,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
 
 
 def first_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` without all but one document of each group; columns as they are."""
+    """``docs`` without all but one document of each group; columns as they are. Rows with equal ids (null
+    ones too) and equal texts are copies as well, of which any one stays."""
     gone = near_duplicates(docs, width, percent).where("NOT kept").select(F.col("doc_id").alias("_gone"))
     gone = S.stored(gone.distinct(), "gone")
-    side = F.broadcast(gone) if gone.count() <= MOST_BROADCAST else gone
-    return docs.join(side, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    few = lambda ids: F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids
+    left = docs.join(few(gone), F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    # Only rows that share an id are dealt out with their texts.
+    twice = S.stored(left.groupBy(F.col("doc_id").alias("_twice")).count().where("count > 1").select("_twice"), "twice")
+    if twice.isEmpty():
+        return left
+    shared = F.col("doc_id").eqNullSafe(F.col("_twice"))
+    copies = left.join(few(twice), shared, "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.join(few(twice), shared, "left_anti").unionByName(copies)

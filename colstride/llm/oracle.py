@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, quality
+from . import mixing, quality, sharding
 
 _WORDS = r"regexp_extract_all(coalesce({}, ''), '[^\x20\x09-\x0D]+')"
 _LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -103,4 +103,13 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_w
 """
 
 
-ORACLE_SQL = {"op1_minhash_dedup": OP1, "op3_embedding_dedup": OP3, "op4_quality": op4(), "op10_mixing": OP10}
+def op2() -> str:
+    """Slots by MD5, and the filled table as a string of three digits for each slot."""
+    owners = "".join(f"{k:03d}" for k in sharding.fill([f"shard-{k:03d}" for k in range(256)]))
+    return f"""
+SELECT doc_id, source, slot, 'shard-' || substr('{owners}', 3 * slot + 1, 3) AS shard FROM (
+  SELECT doc_id, source, ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15))::BIGINT % {sharding.SLOTS} AS slot FROM documents)
+"""
+
+
+ORACLE_SQL = {"op1_minhash_dedup": OP1, "op2_sharding": op2(), "op3_embedding_dedup": OP3, "op4_quality": op4(), "op10_mixing": OP10}

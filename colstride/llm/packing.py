@@ -205,7 +205,7 @@ def pack(docs: DataFrame, path: str, end_id: int = 2, capacity: int = 4096, doc_
         if not tables:
             return
         table = pa.concat_tables(tables).sort_by([("length", "descending"), ("class", "ascending"), ("place", "ascending")])
-        bins, offsets = first_fit(table["length"].to_pylist(), capacity)
+        bins, offsets = best_fit(table["length"].to_pylist(), capacity)
         base_bin = table["all_bins"][0].as_py()
         out = table.select(columns).append_column("sequence_id", pa.array([base_bin + b for b in bins], pa.int64())).append_column("offset", pa.array(offsets, pa.int64()))
         yield from out.to_batches()
@@ -214,17 +214,22 @@ def pack(docs: DataFrame, path: str, end_id: int = 2, capacity: int = 4096, doc_
     return full.unionByName(left.repartition(1).mapInArrow(close, schema))
 
 
-def first_fit(lengths: list[int], capacity: int) -> tuple[list[int], list[int]]:
-    """(bin, offset) of each length in the given order: the first bin with room."""
-    room: list[int] = []
-    bins, offsets, least = [], [], 0
+def best_fit(lengths: list[int], capacity: int) -> tuple[list[int], list[int]]:
+    """(bin, offset) of each length in the given order: in the bin with the least room that holds it."""
+    with_room: list[list[int]] = [[] for _ in range(capacity + 1)]
+    bins, offsets, known, used = [], [], 0, 0
     for n in lengths:
-        at = next((k for k in range(least, len(room)) if room[k] >= n), len(room))
-        if at == len(room):
-            room.append(capacity)
+        # Bit r of ``known`` is set where some bin has room r.
+        if fits := known >> n:
+            room = n + (fits & -fits).bit_length() - 1
+            at = with_room[room].pop()
+            if not with_room[room]:
+                known ^= 1 << room
+        else:
+            room, at, used = capacity, used, used + 1
         bins.append(at)
-        offsets.append(capacity - room[at])
-        room[at] -= n
-        while least < len(room) and not room[least]:
-            least += 1
+        offsets.append(capacity - room)
+        if room > n:
+            with_room[room - n].append(at)
+            known |= 1 << (room - n)
     return bins, offsets

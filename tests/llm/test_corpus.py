@@ -1,13 +1,17 @@
 """Packing, mixing and the pipeline."""
 
+import os
+import re
 import zlib
 
 import numpy as np
 import pytest
+from plain_pii import Plain
 from pyspark.sql import functions as F
+from test_neardup import brute
 
 import corpus_pipeline
-from colstride.llm import mixing, packing, queries
+from colstride.llm import _shared, mixing, packing, pii, queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -19,7 +23,7 @@ def test_cuts(n):
     assert all(4096 // (k + 1) <= size <= 4096 // k for k, size in pieces)
 
 
-def check_packed(rows, texts):
+def check_packed(rows, texts, whole=True):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(queries.vocabulary())
@@ -29,6 +33,8 @@ def check_packed(rows, texts):
         assert [r.start for r in pieces] == np.cumsum([0] + [r.length for r in pieces[:-1]]).tolist() and sum(r.length for r in pieces) == len(own)
         for r in pieces:
             assert r.doc_tokens == len(own) and r.ids_crc32 == zlib.crc32(own[r.start : r.start + r.length].tobytes())
+    if not whole:
+        return None
     padding = 0
     by_sequence = {}
     for r in rows:
@@ -101,6 +107,38 @@ def test_mixing(spark, seed):
     assert all(abs(words.get(s, 0) - target[s]) <= 1 for s in sizes)
 
 
+def test_mixing_in_many_ranges_and_with_clashing_names(spark, monkeypatch):
+    rows = [(i, "w " * (i % 40), "ab"[i % 5 == 0], i, "x") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _size long, _SOURCE string")
+    few = sorted(map(tuple, mixing.mix(docs).collect()))
+    out = sorted(map(tuple, mixing.apply_mix(docs).collect()))
+    assert {r[3] for r in out} <= set(range(300)) and {r[4] for r in out} == {"x"} and all(r[0] == r[3] for r in out)
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 1)
+    assert sorted(map(tuple, mixing.mix(docs).collect())) == few and sorted(map(tuple, mixing.apply_mix(docs).collect())) == out
+
+
+def test_best_fit():
+    rng = np.random.default_rng(3)
+    for capacity in (7, 64, 4096):
+        lengths = sorted(rng.integers(1, capacity + 1, 300).tolist(), reverse=True)
+        bins, offsets = packing.best_fit(lengths, capacity)
+        room = {}
+        for n, b, at in zip(lengths, bins, offsets):
+            fits = [r for r in room.values() if r >= n]
+            assert room.get(b, capacity) == (min(fits) if fits else capacity) and at == capacity - room.get(b, capacity)
+            room[b] = room.get(b, capacity) - n
+        assert sorted(room) == list(range(len(room)))
+
+
+def test_scratch_tables_are_removed(spark):
+    place = _shared.shared_dir(spark).removeprefix("file://")
+    kept = _shared.stored(spark.range(3))
+    before = set(os.listdir(place))
+    with _shared.scratch(spark):
+        assert _shared.stored(spark.range(5)).count() == 5 and len(os.listdir(place)) == len(before) + 1
+    assert set(os.listdir(place)) == before and kept.count() == 3
+
+
 def test_mixing_nothing(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mixing.mix(empty).count() == 0 and mixing.apply_mix(empty).count() == 0
@@ -109,21 +147,38 @@ def test_mixing_nothing(spark):
 
 
 def test_pipeline(spark):
-    columns = spark.read.parquet(f"{SF}/documents.parquet").columns
+    """Each stage on what the one before kept, held against a plain version of it."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    names = [name for name, _ in corpus_pipeline.STAGES]
-    assert names == ["language_id", "minhash_dedup", "pii", "mixing", "packing"]
-    sizes = []
+    columns = docs.columns
+    assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "minhash_dedup", "pii", "mixing", "packing"]
+    seen = {}
     for name, stage in corpus_pipeline.STAGES:
-        docs = stage(spark, docs, SF)
-        if name != "packing":
-            assert docs.columns == columns
-        docs = spark.createDataFrame(docs.collect(), docs.schema)
-        sizes.append(docs.count())
-    assert sizes[0] > 0.95 * 200 and sizes[2] == sizes[1] < sizes[0]
+        before, out = docs.collect(), stage(spark, docs, SF)
+        rows, schema = out.collect(), out.schema
+        assert name == "packing" or out.columns == columns
+        seen[name] = before, rows
+        docs = spark.createDataFrame(rows, schema)
+    before, rows = seen["language_id"]
+    assert {r.doc_id for r in rows} == {r.doc_id for r in before if any(c.isalpha() for c in r.text or "")}
+    before, rows = seen["minhash_dedup"]
+    expected = brute([(r.doc_id, r.text) for r in before], 5, 80)
+    assert sorted(r.doc_id for r in rows) == sorted(i for i, (_, c) in expected.items() if i == c)
+    before, rows = seen["pii"]
+    plain = Plain(pii.session_key(spark).secret)
+    texts = {r.doc_id: plain.text(r.text)[0] for r in before}
+    assert {r.doc_id: (r.text, r.n_chars) for r in rows} == {i: (t, len(t)) for i, t in texts.items()}
+    before, rows = seen["mixing"]
+    sizes, taken = {}, {}
+    for found, some in ((sizes, before), (taken, rows)):
+        for r in some:
+            found[r.source] = found.get(r.source, 0) + len(re.findall(r"[^\x20\x09-\x0D]+", r.text))
+    assert all(abs(taken.get(s, 0) - t) <= 1 for s, t in water(sizes).items())
+    before, rows = seen["packing"]
     final = corpus_pipeline.run(spark, SF)
-    key = ["doc_id", "start", "length", "ids_crc32"]
-    assert sorted(map(tuple, final.select(*key).collect())) == sorted(map(tuple, docs.select(*key).collect()))
+    key = lambda r: (r.doc_id, r.start, r.length, r.ids_crc32)
+    assert sorted(map(key, final.collect())) == sorted(map(key, rows))
+    once = [r for r in before if sum(x.doc_id == r.doc_id for x in before) == 1]
+    check_packed([r for r in rows if r.doc_id in {x.doc_id for x in once}], {r.doc_id: r.text for r in once}, whole=False)
 
 
 @pytest.mark.parametrize("langs", [("en",), ("en", "fr"), ("de", "en", "es", "fr")])

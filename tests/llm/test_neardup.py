@@ -122,6 +122,13 @@ def test_no_rows_null_ids_and_repeated_ids(spark):
     assert neardup.near_duplicates(docs).where("doc_id IS NULL AND component_id IS NULL AND kept").count() == 1
 
 
+def test_repeated_rows_leave_one(spark):
+    schema = "doc_id long, text string, note string"
+    rows = [(None, "a b c d e f", "x"), (None, "a b c d e f", "y"), (None, None, "z"), (None, None, "z"), (3, "a b c d e f", "p"), (3, "a b c d e f", "p"), (4, "a b c d e f", "q"), (5, "u v w x y z", "r"), (5, "other text here", "s")]
+    left = sorted(str((r.doc_id, r.text)) for r in neardup.first_of_each(spark.createDataFrame(rows, schema)).collect())
+    assert left == sorted(map(str, [(None, "a b c d e f"), (None, None), (3, "a b c d e f"), (5, "u v w x y z"), (5, "other text here")]))
+
+
 def test_sketches_merge_and_estimate():
     rng = np.random.default_rng(5)
     a, b = (rng.integers(0, 1 << 63, 900, dtype=np.uint64) for _ in range(2))
