@@ -39,7 +39,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest id.
 
     Null and empty texts are like nothing and stay, as do rows with a null id; rows that share an id go or
-    stay together.
+    stay together, and of rows with equal ids and equal texts one stays.
     """
     return neardup.first_of_each(docs, SHINGLE_WORDS, SIMILAR_PERCENT)
 
@@ -71,7 +71,9 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: Fitted models and seeded draws are beyond SQL; tests/llm holds each stage against a plain version.
+#: Fitted models, keyed pseudonyms and seeded draws are beyond SQL. tests/llm holds the stages against planted
+#: languages, brute force over all pairs, pseudonyms in plain Python, the sums of a plain water-filling, and
+#: the tokenizer's ids; the kernels of language ID against sets of n-grams.
 ORACLE_SQL = None
 
 
@@ -80,6 +82,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _shared.read(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         path = f"{_shared.shared_dir(spark)}/pipeline-{uuid.uuid4().hex}/{k}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with _shared.scratch(spark):  # what a stage stores on the way goes with it
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
