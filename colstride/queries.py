@@ -15,7 +15,7 @@ from .functions import primitives as P
 from .functions import uint64 as U
 from .operators import codecs, formats, stats
 from .operators.calc import bitmap
-from .operators.kernels import GroupSimple, NullSuppression
+from .operators.kernels import GROUPS, GroupSimple, NullSuppression
 from .plans import harness
 from .plans import queries as plans
 from .sources import generators
@@ -446,7 +446,28 @@ def blockwise_formats(spark, sf_dir):
     return formats.decode_each(formats.encode_each(orders(spark, sf_dir, "o_custkey"), formats.exhaustive_choice()))
 
 
-@query("format_choice")
+def _format_sizes() -> str:
+    """SQL for the size of each page in every format and the choice among them: formulas over bit widths, and
+    a walk from block to block for the formats whose blocks depend on the values."""
+    fits = " ".join(f"WHEN list_max(w[place + 1 : place + {n}]) <= {64 // n} THEN {n}" for n in GROUPS)
+    width = lambda x: f"CASE WHEN {x} < 0 THEN 64 ELSE length(bin({x})) END"
+    return f"""
+    WITH RECURSIVE v AS (SELECT o_orderkey // 2048 AS page, o_orderkey AS pos, o_custkey AS v FROM orders),
+    d AS (SELECT *, v - coalesce(lag(v) OVER (PARTITION BY page ORDER BY pos), 0) AS delta, v - min(v) OVER (PARTITION BY page) AS ref FROM v),
+    w AS (SELECT page, pos, 0 AS s, {width("v")} AS w FROM d UNION ALL SELECT page, pos, 1, {width("delta")} FROM d UNION ALL SELECT page, pos, 2, {width("ref")} FROM d),
+    seqs AS (SELECT page, s, list(w ORDER BY pos) AS w, count(*) AS n, max(w) AS most FROM w GROUP BY page, s),
+    packed AS (SELECT page, s, sum(1 + ceil(m * most / 8)) AS bytes FROM (SELECT page, s, pos % 2048 // 64 AS b, count(*) AS m, max(w) AS most FROM w GROUP BY 1, 2, 3) GROUP BY page, s),
+    walk(page, s, place, blocks) AS (SELECT page, s, 0, 0 FROM seqs UNION ALL SELECT page, s, place + CASE {fits} END, blocks + 1 FROM walk JOIN seqs USING (page, s) WHERE place < n),
+    simple AS (SELECT page, s, 8 + ceil(max(blocks) / 2) + 8 * max(blocks) AS bytes FROM walk GROUP BY page, s),
+    sizes AS (
+      SELECT page, CASE WHEN most < 64 THEN most ELSE 0 END AS code, CASE WHEN most < 64 THEN most * n // 8 ELSE 8 * n END AS bytes, 0 AS turn FROM seqs WHERE s = 0
+      UNION ALL SELECT page, 65 + 2 * s, bytes + CASE WHEN s = 2 THEN 8 ELSE 0 END, 1 + 2 * s FROM packed
+      UNION ALL SELECT page, 66 + 2 * s, bytes + CASE WHEN s = 2 THEN 8 ELSE 0 END, 2 + 2 * s FROM simple)
+    SELECT page, n, code FROM (SELECT page, CAST(code AS BIGINT) AS code, row_number() OVER (PARTITION BY page ORDER BY bytes, turn) AS k FROM sizes)
+      JOIN (SELECT page, CAST(n AS BIGINT) AS n FROM seqs WHERE s = 0) USING (page) WHERE k = 1"""
+
+
+@query("format_choice", _format_sizes())
 def format_choice(spark, sf_dir):
     return formats.choices(orders(spark, sf_dir, "o_custkey"), formats.exhaustive_choice())
 
