@@ -43,13 +43,22 @@ def stored(df: DataFrame, label: str = "t") -> DataFrame:
 
 
 @contextmanager
-def scratch(spark: SparkSession) -> Iterator[None]:
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
     """Within it ``stored`` tables are noted, and at its end they are removed: for results that are written
-    before it ends."""
+    before it ends. It gives what stores a table that outlives it."""
     made: list[str] = []
+    outer = _scratch.get()
     token = _scratch.set(made)
+
+    def keep(df: DataFrame, label: str) -> DataFrame:
+        inner = _scratch.set(outer)
+        try:
+            return stored(df, label)
+        finally:
+            _scratch.reset(inner)
+
     try:
-        yield
+        yield keep
     finally:
         _scratch.reset(token)
         hadoop = spark.sparkContext._jsc.hadoopConfiguration()
