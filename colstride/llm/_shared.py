@@ -32,11 +32,31 @@ _own: dict[str, str] = {}
 _scratch: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
 
 
+@contextmanager
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Settings of the session (dots as ``__``) for the tables that are written within it."""
+    names = {name.replace("__", "."): value for name, value in values.items()}
+    before = {name: spark.conf.get(name, None) for name in names}
+    try:
+        for name, value in names.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def write(df: DataFrame, path: str) -> None:
+    """Write ``df`` as Parquet. Its shuffle files go once that is done, not when the driver collects garbage."""
+    with settings(df.sparkSession, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
+        df.write.parquet(path)
+
+
 def stored(df: DataFrame, label: str = "t") -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: cuts the lineage for good."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    write(df, path)
     if (made := _scratch.get()) is not None:
         made.append(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -2,6 +2,7 @@
 
 import itertools
 import re
+import time
 
 import numpy as np
 import pytest
@@ -187,6 +188,42 @@ def test_vector_tables(spark):
     assert {tuple(r) for r in null.collect()} == {(None, 0, None, True), (1, 0, 1, True)}
 
 
+def test_vectors_are_not_copied_for_their_pairs(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "LEAST_TILE", 32)
+    monkeypatch.setattr(embeddings, "MOST_TILE", 32)
+    monkeypatch.setattr(embeddings, "AT_ONCE", 1, raising=False)
+    rng = np.random.default_rng(4)
+    vectors = rng.standard_normal((600, 32))
+    vectors[300:320] = vectors[:20] + rng.standard_normal((20, 32)) * 0.05
+    rows = [(i, list(map(float, v))) for i, v in enumerate(vectors)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    status = spark.sparkContext._jsc.sc().statusStore()
+    stages = lambda: status.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    last = max([stages().apply(k).stageId() for k in range(stages().size())], default=-1)
+    found = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(df).collect()}
+    assert found == brute_vectors(rows)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    now = stages()
+    dealt = [s.shuffleWriteRecords() for s in map(now.apply, range(now.size())) if s.stageId() > last]
+    # Once in each block, one after the other, however many other vectors a vector meets.
+    assert max(dealt) <= len(rows)
+
+
+def test_shuffle_files_go_with_the_write(spark, tmp_path):
+    def files():
+        manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+        found = manager.getAllFiles()
+        return {found.apply(k).getName() for k in range(found.size()) if found.apply(k).getName().startswith("shuffle_")}
+
+    before = files()
+    _shared.stored(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+    for _ in range(50):  # they are removed in the background
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_components_of_random_links(spark, seed):
     rng = np.random.default_rng(seed)
