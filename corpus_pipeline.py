@@ -83,6 +83,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (name, stage) in enumerate(STAGES):
         path = f"{_shared.shared_dir(spark)}/pipeline-{uuid.uuid4().hex}/{k}-{name}"
         with _shared.scratch(spark):  # what a stage stores on the way goes with it
-            stage(spark, docs, sf_dir).write.parquet(path)
+            _shared.write(stage(spark, docs, sf_dir), path)
         docs = spark.read.parquet(path)
     return docs

@@ -114,6 +114,21 @@ def test_hot_keys_change_nothing(spark, monkeypatch):
     assert found == {**{i: 0 for i in range(60)}, 70: 0, 80: 80, 81: 80}
 
 
+def test_tables_of_full_sets_go_once_used(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(_shared, "shared_dir", lambda spark: f"file://{tmp_path}")
+    seen, stored = {}, _shared.stored
+
+    def watched(df, label="t"):
+        seen.setdefault(label, {p.name.split("-")[0] for p in tmp_path.iterdir()})
+        return stored(df, label)
+
+    monkeypatch.setattr(_shared, "stored", watched)
+    pairs = list(enumerate(copies(7, 40)))
+    docs = spark.createDataFrame(pairs, "doc_id long, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs, 3, 85).collect()} == brute(pairs, 3, 85)
+    assert "sets" in seen["stars"] and not seen["first"] & {"sets", "pairs", "wanted"}
+
+
 def test_no_rows_null_ids_and_repeated_ids(spark):
     schema = "doc_id long, text string"
     assert neardup.near_duplicates(spark.createDataFrame([], schema)).count() == 0
