@@ -35,7 +35,7 @@ BASE, RATE, LIMIT = 1.001, 20.0, 65534
 MARGIN = 0.13
 #: Members of a tile's side.
 TILE = 512
-#: Document ids sent to every executor at most, where only few texts are wanted.
+#: Numbers (ids, or tiles of wanted documents) sent to every executor at most, where only few texts are wanted.
 MOST_BROADCAST = 1_000_000
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _FACTORS = _GOLDEN, np.uint64(0xD6E8FEB86659FD93)
@@ -171,21 +171,23 @@ def sign(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, fp_a long, fp_b long, registers binary, bands array<long>")
 
 
-def sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """(id, grams): the full shingle sets of the wanted documents."""
-    ids = S.stored(ids.distinct(), "wanted")
-    # Few ids go to the texts; many, and the texts are dealt by id instead.
-    side = F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids
-    wanted = docs.join(side, docs.doc_id == ids.id, "left_semi").select("doc_id", "text")
+def sets_of(docs: DataFrame, places: DataFrame, width: int) -> DataFrame:
+    """(id, tiles, parts, grams): the full shingle sets of the documents in ``places`` (id, tiles, parts),
+    which has an id once. Sets lie beside the tiles they go to, so no join has to deal them by id."""
+    places = S.stored(places, "wanted")
+    # Few tiles go to the texts; many, and the texts are dealt by id instead.
+    n = places.agg(F.sum(F.size("tiles") + 1)).first()[0] or 0
+    side = F.broadcast(places) if n <= MOST_BROADCAST else places
+    wanted = docs.join(side, docs.doc_id == places.id).select("doc_id", "text", "tiles", "parts")
 
     def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         S.only("neardup")
         for batch in S.slices(batches_):
             texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
             found = [s.astype("<u8").tobytes() for s in shingles(texts, width)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["id", "grams"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(found, pa.binary())], ["id", "tiles", "parts", "grams"])
 
-    return S.stored(wanted.mapInArrow(run, "id long, grams binary"), "sets")
+    return S.stored(wanted.mapInArrow(run, "id long, tiles array<long>, parts long, grams binary"), "sets")
 
 
 def _sides(group: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, bool]:
@@ -196,7 +198,7 @@ def _sides(group: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, bool]:
 
 
 def survivors(group: dict[str, np.ndarray], threshold: float) -> list[np.ndarray] | None:
-    """(tile, side, id, partners) of members with partners in other components that their registers make
+    """(tile, id, label, partners) of members with partners in other components that their registers make
     likely and that they don't meet in an earlier band; the left member of a pair names the right one."""
     left, right, same_side = _sides(group)
     n, label, band = group["n"].astype(float), group["label"], int(group["band"][0])
@@ -222,7 +224,7 @@ def survivors(group: dict[str, np.ndarray], threshold: float) -> list[np.ndarray
             hit[others] = True
             partners[i] = group["id"][others].tobytes()
     at = np.flatnonzero(hit)
-    return [group["tile"][at], group["side"][at], group["id"][at], partners[at]] if len(at) else None
+    return [group["tile"][at], group["id"][at], label[at], partners[at]] if len(at) else None
 
 
 def common_size(a: np.ndarray, b: np.ndarray) -> int:
@@ -241,12 +243,14 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 def confirmed(group: dict[str, np.ndarray], percent: int) -> list[np.ndarray] | None:
     """(a, b) of a spanning forest over the links between members of different components: the named
-    pairs are held against their full sets, but for those that links found before have joined."""
-    label, ids = group["label"].tolist(), group["id"].tolist()
-    place: dict[int, int] = {}
-    for i, x in enumerate(ids):
-        place.setdefault(x, i)
-    grams = [as_set(g) for g in group["grams"]]
+    pairs are held against their full sets, but for those that links found before have joined. Members
+    (side 0) and sets (side 1) are rows of their own."""
+    sets: dict[int, dict[bytes, np.ndarray]] = {}
+    for i in np.flatnonzero(group["side"] == 1):
+        sets.setdefault(int(group["id"][i]), {})[group["grams"][i]] = as_set(group["grams"][i])
+    members = np.flatnonzero(group["side"] == 0)
+    ids = group["id"][members].tolist()
+    label = dict(zip(ids, group["label"][members].tolist(), strict=True))
     root: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -255,15 +259,14 @@ def confirmed(group: dict[str, np.ndarray], percent: int) -> list[np.ndarray] |
         return x
 
     out = []
-    for i, named in enumerate(group["partners"]):
+    for one, named in zip(ids, group["partners"][members], strict=True):
         for other in np.frombuffer(named, dtype=np.int64).tolist():
-            j = place[other]
-            x, y = find(label[i]), find(label[j])
+            x, y = find(label[one]), find(label[other])
             if x == y:
                 continue
-            if similar(grams[i], grams[j], percent):
+            if any(similar(a, b, percent) for a in sets[one].values() for b in sets[other].values()):
                 root[max(x, y)] = min(x, y)
-                out.append((ids[i], other))
+                out.append((one, other))
     if not out:
         return None
     pairs = np.array(out, dtype=np.int64)
@@ -333,14 +336,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
         pairs = S.join_hot(members, hubs, "key", hot).where("id <> hub").select("id", "hub").distinct()
         with S.scratch(docs.sparkSession) as outlive:
             likely_ones = S.stored(likely_pairs(pairs, signed, threshold), "pairs")
-            sets = sets_of(base, likely_ones.select("id").union(likely_ones.select(F.col("hub").alias("id"))), width)
+            # A star has a tile for every 256 members or so; its hub goes to all of them.
             crowd = likely_ones.groupBy("hub").agg(F.expr("1 + count(*) div 256").alias("parts"))
-            parts = likely_ones.join(crowd, "hub").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
-            tile = F.xxhash64("hub", "part").alias("tile")
-            rows = parts.select(tile, F.col("id"), F.lit(1).alias("side"))
-            centres = crowd.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")).select(tile, F.col("hub").alias("id"), F.lit(0).alias("side"))
-            stars = tiled(rows.union(centres).join(sets, "id").select("tile", "side", "id", "grams"), "a long, b long", lambda g: star_links(g, percent))
-            stars = outlive(stars, "stars")
+            met = likely_ones.join(crowd, "hub").select("id", F.xxhash64("hub", F.pmod(F.xxhash64("id"), F.col("parts"))).alias("tile"), F.lit(0).cast("long").alias("parts"))
+            met = met.union(crowd.select("hub", F.lit(None).cast("long"), "parts"))
+            sets = sets_of(base, met.groupBy("id").agg(F.collect_set("tile").alias("tiles"), F.max("parts").alias("parts")), width)
+            rows = sets.select(F.explode("tiles").alias("tile"), F.lit(1).alias("side"), "id", "grams")
+            centres = sets.where("parts > 0").select("id", "grams", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+            centres = centres.select(F.xxhash64("id", "part").alias("tile"), F.lit(0).alias("side"), "id", "grams")
+            stars = outlive(tiled(rows.union(centres), "a long, b long", lambda g: star_links(g, percent)), "stars")
 
         # What hubs left open: buckets with several components.
         first = S.stored(_graph.components(stars), "first")
@@ -364,13 +368,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
             dealt = dealt.select(
                 F.xxhash64("key", lo, hi).alias("tile"), F.when(F.col("block") == lo, 0).otherwise(1).alias("side"), "id", "label", "band")
             sizes = signed.select(F.col("doc_id").alias("id"), "n", "registers")
-            found = tiled(dealt.join(sizes, "id"), "tile long, side int, id long, partners binary", lambda g: survivors(g, threshold))
+            found = tiled(dealt.join(sizes, "id"), "tile long, id long, label long, partners binary", lambda g: survivors(g, threshold))
             found = S.stored(found, "survivors")
-            more_sets = sets_of(base, found.select("id"), width)
-            labels = first.select("id", F.col("component").alias("label"))
-            to_confirm = found.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")).join(more_sets, "id")
-            rest = tiled(to_confirm.select("tile", "side", "id", "label", "grams", "partners"), "a long, b long", lambda g: confirmed(g, percent))
-            rest = outlive(rest, "rest")
+            more_sets = sets_of(base, found.groupBy("id").agg(F.collect_set("tile").alias("tiles")).withColumn("parts", F.lit(0).cast("long")), width)
+            none = F.lit(None).cast("binary")
+            to_confirm = found.select("tile", F.lit(0).alias("side"), "id", "label", "partners", none.alias("grams")).union(
+                more_sets.select(F.explode("tiles"), F.lit(1), "id", "id", none, "grams"))
+            rest = outlive(tiled(to_confirm, "a long, b long", lambda g: confirmed(g, percent)), "rest")
         final = keep(first if rest.isEmpty() else _graph.components(stars.union(rest)), "final")
 
     component = F.coalesce("component", "rep", "doc_id")

@@ -129,6 +129,40 @@ def test_tables_of_full_sets_go_once_used(spark, monkeypatch, tmp_path):
     assert "sets" in seen["stars"] and not seen["first"] & {"sets", "pairs", "wanted"}
 
 
+@pytest.mark.parametrize("most", [1_000_000, 0])
+def test_full_sets_are_dealt_once(spark, monkeypatch, most):
+    monkeypatch.setattr(neardup, "MOST_BROADCAST", most)
+    status = spark.sparkContext._jsc.sc().statusStore()
+    handed, dealt, stored, tiled = [], {}, _shared.stored, neardup.tiled
+
+    def stages():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        found = status.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return {s.stageId(): s.shuffleWriteRecords() for s in map(found.apply, range(found.size()))}
+
+    def watched(df, label="t"):
+        before = stages()
+        out = stored(df, label)
+        dealt[label] = sum(n for k, n in stages().items() if k not in before)
+        return out
+
+    def counted(rows, schema, work):
+        handed.append((rows.count(), rows.where("grams IS NOT NULL").count()) if "grams" in rows.columns else (0, 0))
+        return tiled(rows, schema, work)
+
+    monkeypatch.setattr(_shared, "stored", watched)
+    monkeypatch.setattr(neardup, "tiled", counted)
+    pairs = list(enumerate(copies(3, 90)))
+    docs = spark.createDataFrame(pairs, "doc_id long, text string")
+    with _shared.settings(spark, spark__sql__autoBroadcastJoinThreshold="-1"):
+        found = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs, 3, 85).collect()}
+    assert found == brute(pairs, 3, 85)
+    (stars, _), _, (rest, sets) = handed
+    assert stars and sets
+    # To their tiles, and nowhere else.
+    assert dealt["stars"] == stars and dealt["rest"] == rest
+
+
 def test_no_rows_null_ids_and_repeated_ids(spark):
     schema = "doc_id long, text string"
     assert neardup.near_duplicates(spark.createDataFrame([], schema)).count() == 0
