@@ -366,6 +366,23 @@ def test_toxicity(spark):
     assert np.mean([r.predicted for r, y in held if not y]) < 0.03 and np.mean([r.predicted for r, y in held if y]) > 0.5
 
 
+@pytest.mark.parametrize("sf, least", [("sf0.001", 0.7), ("sf0.01", 0.95)])
+def test_toxicity_ranks_with_few_labels(spark, sf, least):
+    """On held-out documents, also where nine toxic ones are all there is to learn from."""
+    place = f"/root/testdata/{sf}"
+    rows = queries.op5_toxicity(spark, place).where("held_out").join(spark.read.parquet(f"{place}/labels.parquet"), "doc_id").collect()
+    above, below = (np.array([r.score for r in rows if r.toxic == y]) for y in (1, 0))
+    assert np.mean((above[:, None] > below) + (above[:, None] == below) / 2) > least
+
+
+def test_toxicity_of_two_examples(spark):
+    docs = frame(spark, ["you foul thing", "so foul a day", "a fine day", "you fine thing", "foul", "fine"])
+    labels = spark.createDataFrame([(i, int(i < 2)) for i in range(4) if not held_out(i)], "doc_id long, toxic int")
+    assert labels.groupBy("toxic").count().count() == 2
+    found = {r.text: r.score for r in toxicity.score(docs, toxicity.train(docs, labels)).collect()}
+    assert found["foul"] > found["fine"]
+
+
 def test_hidden_words_are_restored(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     decoder = toxicity.Decoder(toxicity.language_model(toxicity.gather_trigrams(docs)))
