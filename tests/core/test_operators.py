@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from colstride import operators as O
 from colstride.functions import primitives as P
 from colstride.functions import uint64 as U
-from colstride.operators import grouping, stats
+from colstride.operators import grouping, joins, stats
 from colstride.operators.calc import bitmap
 from colstride.sources.columns import from_values
 
@@ -154,3 +154,17 @@ def test_statistics(spark):
     assert stats.is_unique_estimate(from_values(spark, [1, 2, 2]), first=2)
     assert rows(stats.max_bitwidth(from_values(spark, [1, 8, 3]))) == [(4,)]
     assert rows(O.distinct_values(from_values(spark, [7, 3, 7]))) == [(0, 7), (1, 3)]
+
+
+def test_pairs_of_frequent_keys_are_dealt_by_pairs(spark, monkeypatch):
+    """One input partition; the rows of a frequent key meet in many tasks, and no pair is lost or doubled."""
+    monkeypatch.setattr(joins, "HOT_PAIRS", 50)
+    monkeypatch.setattr(joins, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(joins, "TASK_PAIRS", 100)
+    keys = [None, *[1] * 40, *[2] * 3, 3, *[4] * 9]
+    side = lambda rows: spark.createDataFrame(rows, "pos long, v long").coalesce(1)
+    left, right = [(i, k) for i, k in enumerate(keys)], [(i if i % 5 else None, k) for i, k in enumerate(keys + [4] * 20 + [5])]
+    found = joins.nested_loop_join(side(left), side(right))
+    pairs = lambda rows: sorted(rows, key=str)
+    assert pairs(tuple(r) for r in found.collect()) == pairs((a, b) for a, k in left for b, m in right if k is not None and k == m)
+    assert found.rdd.getNumPartitions() >= (40 * 40 + 9 * 29) // 100
