@@ -96,6 +96,35 @@ def k_wise_sizes(column: DataFrame, k: int = 2) -> DataFrame:
     return column.agg(F.count("*").alias("n"), (F.coalesce(F.sum(U.bytewidth(F.col("v"))), F.lit(0)) + F.ceil(F.count("*") / k)).alias("bytes"))
 
 
+#: Pages that are Python objects at a time.
+PAGES_HELD = 64
+
+
+def _slices(batches):
+    for batch in batches:
+        for k in range(0, batch.num_rows, PAGES_HELD):
+            yield batch.slice(k, PAGES_HELD)
+
+
+def _through(frame: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """``frame.mapInArrow(run, schema)``. Right behind another such step it runs in that one's worker, page by
+    page: a chain of steps takes one Python process for each task, and no batch of pages lies between them."""
+    source, before = (frame, None) if frame.is_cached else vars(frame).get("_steps", (frame, None))
+
+    def both(batches):
+        return run(before(batches))
+
+    work = run if before is None else both
+    out = source.mapInArrow(work, schema)
+    out._steps = source, work
+    return out
+
+
+def _of_pages(pages: DataFrame, *columns: str) -> DataFrame:
+    """``pages`` with these columns; itself if it has no others."""
+    return pages if pages.columns == list(columns) else pages.select(*columns)
+
+
 def _pages(column: DataFrame, page: int, schema: str, work: Callable[[int, np.ndarray], tuple]) -> DataFrame:
     """A row of ``work`` for each page; tasks take many pages, one after the other."""
     names = [part.split()[0] for part in schema.split(", ")]
@@ -122,7 +151,7 @@ def _pages(column: DataFrame, page: int, schema: str, work: Callable[[int, np.nd
             yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(rows(held), types, strict=True)], names)
 
     dealt = column.select(block_of(page).alias("page"), F.col("v").cast("long").alias("v"), "pos").repartition("page").sortWithinPartitions("page", "pos")
-    return dealt.select("page", "v").mapInArrow(run, schema)
+    return _through(dealt.select("page", "v"), run, schema)
 
 
 def encode(column: DataFrame, kernel, page: int = PAGE) -> DataFrame:
@@ -134,12 +163,12 @@ def decode(pages: DataFrame, kernel, page: int = PAGE) -> DataFrame:
     """(pos, v) again."""
 
     def run(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             for p, n, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 values = kernel.decode(data, n)
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(p * page, p * page + n)), pa.array(values.astype(np.uint64).view(np.int64))], ["pos", "v"])
 
-    return pages.select("page", "n", "data").mapInArrow(run, "pos long, v long")
+    return _through(_of_pages(pages, "page", "n", "data"), run, "pos long, v long")
 
 
 def morph(pages: DataFrame, source, target, page: int = PAGE) -> DataFrame:
@@ -148,12 +177,12 @@ def morph(pages: DataFrame, source, target, page: int = PAGE) -> DataFrame:
         return pages
 
     def run(batches):
-        for batch in batches:
-            ps, ns, datas = (c.to_pylist() for c in batch.columns)
+        for batch in _slices(batches):
+            _, ns, datas = (c.to_pylist() for c in batch.columns)
             again = [target.encode(source.decode(d, n)) for n, d in zip(ns, datas, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(again, pa.binary())], ["page", "n", "data"])
 
-    return pages.select("page", "n", "data").mapInArrow(run, "page long, n long, data binary")
+    return _through(_of_pages(pages, "page", "n", "data"), run, "page long, n long, data binary")
 
 
 def read_at(pages: DataFrame, positions: DataFrame, kernel, page: int = PAGE) -> DataFrame:
@@ -162,7 +191,7 @@ def read_at(pages: DataFrame, positions: DataFrame, kernel, page: int = PAGE) ->
     wanted = positions.groupBy(block_of(page).alias("page")).agg(F.collect_list("pos").alias("at"))
 
     def run(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             for p, n, data, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 at = np.array(at, dtype=np.int64)
                 at = at[at < p * page + n]
@@ -178,12 +207,12 @@ def process_pages(pages: DataFrame, kernel, step: Callable[[object, np.ndarray],
 
     def run(batches):
         state = start
-        for batch in batches:
-            for n, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for batch in _slices(batches):
+            for n, data in zip(batch.column("n").to_pylist(), batch.column("data").to_pylist(), strict=True):
                 state = step(state, kernel.decode(data, n))
         yield pa.RecordBatch.from_pylist([{"state": state}])
 
-    return finish(pages.select("n", "data").mapInArrow(run, schema))
+    return finish(_through(_of_pages(pages, *[c for c in ("page", "n", "data") if c in pages.columns]), run, schema))
 
 
 def select_packed(pages: DataFrame, value: int, page: int = PAGE) -> DataFrame:
@@ -195,7 +224,7 @@ def select_packed(pages: DataFrame, value: int, page: int = PAGE) -> DataFrame:
     width = max(1, value.bit_length())
 
     def run(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             for p, n, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if data[0] < width or not n:
                     continue

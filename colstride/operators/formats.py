@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import kernels as K
-from .codecs import CODES, PAGE, _pages, decode
+from .codecs import CODES, PAGE, _of_pages, _pages, _slices, _through
 
 #: A selector: (page number, values) -> format code, with the encoded page if it was made on the way.
 Selector = Callable[[int, np.ndarray], int | tuple[int, bytes | None]]
@@ -74,11 +75,10 @@ def encode_each(column: DataFrame, selector: Selector, page: int = PAGE) -> Data
 def decode_each(pages: DataFrame, page: int = PAGE) -> DataFrame:
     """(pos, v) of pages in different formats."""
 
-    class Mixed:
-        def decode(self, data: bytes, n: int) -> np.ndarray:
-            return kernel_of(data[0]).decode(data[1:], n)
+    def run(batches):
+        for batch in _slices(batches):
+            for p, n, code, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                values = kernel_of(code).decode(data, n)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(p * page, p * page + n)), pa.array(values.astype(np.uint64).view(np.int64))], ["pos", "v"])
 
-    from pyspark.sql import functions as F
-
-    tagged = pages.withColumn("data", F.concat(F.unhex(F.lpad(F.hex(F.col("code").cast("long")), 2, "0")), F.col("data")))
-    return decode(tagged, Mixed(), page)
+    return _through(_of_pages(pages, "page", "n", "code", "data"), run, "pos long, v long")

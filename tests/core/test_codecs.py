@@ -151,3 +151,29 @@ def test_selectors(spark):
             sizes = sizes_of(whole[p * 100 : p * 100 + 100])
             assert sizes[code] == (min(sizes.values()) if chooser is best else max(v for k, v in sizes.items() if k == 0 or k > 64))
     assert [r.v for r in formats.decode_each(pages, 100).orderBy("pos").collect()] == [3] * 100 + list(range(1000, 1100))
+
+
+def test_chained_steps_share_a_worker(spark):
+    """Encoding, another format and decoding are one Python step; a cached or changed frame begins a new one."""
+    column = spark.range(5000).selectExpr("id AS pos", "id % 300 AS v")
+    steps = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow")
+    plain, kernel = codecs.NAMES["uncompressed"], codecs.NAMES["dynamic_vbp"]
+    pages = codecs.encode(column, plain)
+    found = codecs.decode(codecs.morph(pages, plain, kernel), kernel)
+    mixed = formats.decode_each(formats.encode_each(column, formats.exhaustive_choice()))
+    part = codecs.decode(pages.where("page > 0"), plain)
+    assert (steps(found), steps(mixed), steps(part)) == (1, 1, 2)
+    expected = [(k, k % 300) for k in range(5000)]
+    assert sorted(tuple(r) for r in found.collect()) == sorted(tuple(r) for r in mixed.collect()) == expected
+    assert sorted(tuple(r) for r in part.collect()) == expected[2048:]
+    pages.cache()
+    assert sorted(tuple(r) for r in codecs.decode(pages, plain).collect()) == expected
+    pages.unpersist()
+
+
+def test_few_pages_are_held_at_a_time():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"page": list(range(1000))})
+    parts = list(codecs._slices([batch]))
+    assert max(p.num_rows for p in parts) == codecs.PAGES_HELD and [v for p in parts for v in p.column(0).to_pylist()] == list(range(1000))
