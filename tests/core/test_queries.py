@@ -48,3 +48,14 @@ def test_unsigned_bounds_push_down(spark):
 def test_plans_push_down(spark):
     plan = Q.QUERIES["select_sum"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(l_linenumber,3)" in plan and "l_extendedprice" not in plan
+
+
+def test_variant_on_compressed_takes_one_worker(spark, monkeypatch):
+    """The frames that the harness compares: encoding and decoding are one Python step."""
+    from colstride.plans import harness
+
+    seen = []
+    plain = harness.fingerprint
+    monkeypatch.setattr(harness, "fingerprint", lambda df: (seen.append(df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow")), plain(df))[1])
+    assert {r.name: r.status for r in Q.QUERIES["variants_agree"](spark, SF).collect()} == {"fused": 1, "positional": 1, "on_compressed": 1}
+    assert seen == [0, 0, 1]
